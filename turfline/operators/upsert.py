@@ -66,7 +66,7 @@ def insert_if_absent_count(existing: DataFrame, batch: DataFrame, key: str = "ur
             .select("inserted", (F.col("inserted") + F.col("_old")).alias("total")))
 
 
-def assign_row_ids(df: DataFrame, order_cols: Sequence[str], start: int | DataFrame = 1,
+def assign_row_ids(df: DataFrame, order_cols: Sequence, start: int | DataFrame = 1,
                    id_col: str = "row_id", num_partitions: int | None = None) -> DataFrame:
     """Dense increasing ids in ``order_cols`` order, without a global window.
 
@@ -77,7 +77,7 @@ def assign_row_ids(df: DataFrame, order_cols: Sequence[str], start: int | DataFr
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col(c) for c in order_cols]
+    order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     tagged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
               .withColumn("_p", F.spark_partition_id())
               .withColumn("_m", F.monotonically_increasing_id())
