@@ -198,3 +198,46 @@ def feature_table(players: DataFrame, teams: DataFrame, fixtures: DataFrame) ->
 def feature_rows_for(features: DataFrame, names: DataFrame, name_col: str = "web_name") -> DataFrame:
     """Features of chosen entities only: filter after the global steps (semi join)."""
     return features.join(names.select(name_col).distinct(), on=name_col, how="left_semi")
+
+
+# ---------------------------------------------------------------- joins and lookups
+
+def join_team_inner(players: DataFrame, teams: DataFrame) -> DataFrame:
+    """Inner equi join on team id; unknown teams drop out; clashing names get ``_team``."""
+    t = teams.select(F.col("id").alias("id_team"), "name", "short_name", "strength")
+    return players.join(small_side(t), players.team_id == t.id_team, "inner")
+
+
+def lookup_name(players: DataFrame, teams: DataFrame, out: str = "team_name") -> DataFrame:
+    """id -> name through the team dimension; unmatched -> NULL (left broadcast join)."""
+    t = teams.select(F.col("id").alias("_tid"), F.col("name").alias(out))
+    return players.join(small_side(t), players.team_id == t._tid, "left").drop("_tid")
+
+
+def outer_add(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
+    """Per-key total of two sides where a missing side counts as 0: one stacked
+    aggregate (a single shuffle) instead of two aggregates and a full outer join."""
+    both = left.select(key, value).unionAll(right.select(key, value)).where(F.col(key).isNotNull())
+    return both.groupBy(key).agg(F.coalesce(F.sum(value), F.lit(0)).cast("long").alias(value))
+
+
+def fixtures_of_entities(fixtures: DataFrame, entities: DataFrame, key: str = "id") -> DataFrame:
+    """Fixtures where the team is home OR away, for a table of entities.
+
+    Two equi semi joins instead of one OR-join (which would plan as a nested
+    loop): home matches, plus away matches whose home side did not match."""
+    ent = small_side(entities.select(F.col(key).alias("_e")).distinct())
+    home = fixtures.join(ent, fixtures.team_h == ent._e, "left_semi")
+    rest = fixtures.join(ent, fixtures.team_h == ent._e, "left_anti")
+    away = rest.join(ent, rest.team_a == ent._e, "left_semi")
+    return home.unionByName(away)
+
+
+def table_profile(tables: dict[str, DataFrame]) -> DataFrame:
+    """Row and column counts per table."""
+    out = None
+    for name, df in tables.items():
+        row = df.agg(F.count(F.lit(1)).alias("n_rows")).select(
+            F.lit(name).alias("table_name"), "n_rows", F.lit(len(df.columns)).alias("n_cols"))
+        out = row if out is None else out.unionByName(row)
+    return out
