@@ -43,9 +43,11 @@ def upsert_by_key(existing: DataFrame, updates: DataFrame, keys: Sequence[str],
     """Replace rows by primary key; updates beat stored rows; within the batch
     the greatest ``order_cols`` wins (the batch's own sequence column)."""
     cols = existing.columns
-    src = (existing.select(*cols).withColumn("_v", F.lit(0))
-           .unionByName(updates.select(*cols).withColumn("_v", F.lit(1))))
-    return latest_by_key(src, keys, ["_v", *order_cols]).drop("_v")
+    extra = [c for c in order_cols if c not in cols]
+    ex = existing.select(*cols, *[F.lit(None).cast(updates.schema[c].dataType).alias(c) for c in extra],
+                         F.lit(0).alias("_v"))
+    up = updates.select(*cols, *extra, F.lit(1).alias("_v"))
+    return latest_by_key(ex.unionByName(up), keys, ["_v", *order_cols]).drop("_v", *extra)
 
 
 def insert_if_absent(existing: DataFrame, batch: DataFrame, key: str = "url",

@@ -1,3 +1,3 @@
 """Catalog modules; importing them registers every key."""
 
-from turfline.plans.queries import q_features, q_scoring, q_text  # noqa: F401
+from turfline.plans.queries import q_features, q_scoring, q_text, q_upsert  # noqa: F401
