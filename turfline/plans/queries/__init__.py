@@ -1,3 +1,3 @@
 """Catalog modules; importing them registers every key."""
 
-from turfline.plans.queries import q_dash, q_features, q_scoring, q_text, q_upsert  # noqa: F401
+from turfline.plans.queries import q_dash, q_features, q_scoring, q_text, q_upsert, q_vectors  # noqa: F401
