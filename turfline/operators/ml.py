@@ -160,11 +160,12 @@ def model_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "models", name)
 
 
-def save_bundle(model: PipelineModel, metrics: DataFrame, name: str,
+def save_bundle(model: PipelineModel, metrics: DataFrame, name: str, bundle: str | None = None,
                 feature_cols: Sequence[str] = K.FEATURE_COLS) -> str:
-    """Fitted pipeline + a one-row metadata table (name, feature order, metrics)."""
+    """Fitted pipeline + a one-row metadata table (model name, feature order,
+    metrics) under ``models/<bundle>`` in the shared checkpoint folder."""
     spark = metrics.sparkSession
-    path = model_dir(spark, name)
+    path = model_dir(spark, bundle or name)
     model.write().overwrite().save(os.path.join(path, "pipeline"))
     meta = (metrics.where(F.col("model") == name)
             .select(F.lit(name).alias("model_name"),

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turfline.functions.columns import r6
+from turfline.functions.columns import round_half_even
 from turfline.plans.oracle import with_fx
 
 
@@ -30,15 +30,23 @@ class Entry:
     def query(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         df = self.build(spark, sf_dir)
         if self.rounded:
-            df = df.withColumns({c: r6(F.col(c).cast("double")) for c in self.rounded})
+            df = df.withColumns({c: round_half_even(F.col(c).cast("double"), d) for c, d in self._digits()})
         return df
 
+    def _digits(self) -> list[tuple[str, int]]:
+        """``rounded`` entries are ``col`` (6 decimals) or ``col:digits``."""
+        out = []
+        for r in self.rounded:
+            c, _, d = r.partition(":")
+            out.append((c, int(d) if d else 6))
+        return out
+
     def oracle(self) -> str | None:
         if self.oracle_body is None:
             return None
         body = self.oracle_body.strip()
         if self.rounded:
-            repl = ", ".join(f"round_even(CAST({c} AS DOUBLE), 6) AS {c}" for c in self.rounded)
+            repl = ", ".join(f"round_even(CAST({c} AS DOUBLE), {d}) AS {c}" for c, d in self._digits())
             body = f"SELECT * REPLACE ({repl}) FROM (\n{body}\n) _q"
         return with_fx(self.fx, body, self.ctes)
 

@@ -73,7 +73,7 @@ def q_feature_importance(spark, sf):
 @register("model_bundle")
 def q_model_bundle(spark, sf):
     name, model, metrics = _best(spark, sf)
-    path = ML.save_bundle(model, metrics, f"{name}_{os.path.basename(sf.rstrip('/'))}")
+    path = ML.save_bundle(model, metrics, name, bundle=f"{name}_{os.path.basename(sf.rstrip('/'))}")
     loaded, meta = ML.load_bundle(spark, path)
     scored = ML.batch_predict(loaded, _features(spark, sf))
     return scored.crossJoin(F.broadcast(meta.select("model_name")))

@@ -231,7 +231,7 @@ FROM (SELECT position_name, lo, hi, group_mean,
               ON f.position_name = s.position_name
             WHERE f.xP IS NOT NULL) a) b
 GROUP BY position_name, bin""", fx=FEATURE_FX, ctes=ORACLE_FEATURE_CTES,
-          rounded=["bin_lo", "group_mean"])
+          rounded=["bin_lo", "group_mean:4"])
 def q_histogram_by_group(spark, sf):
     wide = (FT.feature_frame(*_inputs(spark, sf)).where(F.col("position_name").isNotNull())
             .select("position_name", "xP"))
