@@ -42,3 +42,14 @@ def small_side(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
 def one_row(df: DataFrame) -> DataFrame:
     """Broadcast a global (ungrouped) aggregate: exactly one row by construction."""
     return F.broadcast(df)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin repartition only when ``df`` has fewer partitions than the
+    cluster's default parallelism (e.g. one small file with a single row group)
+    before CPU-heavy per-row work. On a large input with many splits this is a
+    no-op, so no shuffle is added at scale."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
