@@ -121,7 +121,7 @@ def select_best_model(metrics: DataFrame) -> DataFrame:
 
 
 def cross_validate(features: DataFrame, kind: str, folds: int = K.CV_FOLDS,
-                   parallelism: int = 2, **overrides) -> DataFrame:
+                   parallelism: int | None = None, **overrides) -> DataFrame:
     """Mean MAE over unshuffled folds: fold = position in id order * folds / n."""
     from turfline.operators.scoring import rank_all
     df = prepare(features)
@@ -132,7 +132,7 @@ def cross_validate(features: DataFrame, kind: str, folds: int = K.CV_FOLDS,
     est = build_pipeline(kind, **overrides)
     ev = RegressionEvaluator(labelCol=K.TARGET, predictionCol="prediction", metricName="mae")
     cv = CrossValidator(estimator=est, estimatorParamMaps=ParamGridBuilder().build(), evaluator=ev,
-                        numFolds=folds, foldCol="fold", parallelism=parallelism)
+                        numFolds=folds, foldCol="fold", parallelism=parallelism or folds)
     model = cv.fit(ranked)
     spark = features.sparkSession
     return spark.createDataFrame([(kind, float(model.avgMetrics[0]))], "model string, cv_mae double")

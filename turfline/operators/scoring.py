@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from turfline import constants as K
 from turfline.functions.columns import clip_col, round_half_even, safe_div
 from turfline.operators.upsert import assign_row_ids
-from turfline.plans.guards import one_row
+from turfline.plans.guards import one_row, small_side
 
 
 def impute_median(df: DataFrame, cols: Sequence[str], approx: bool = False,
@@ -63,9 +63,11 @@ def residuals(df: DataFrame, actual: str = "actual", pred: str = "pred") -> Data
 
 
 def confusion_matrix(df: DataFrame, actual: str = "actual", pred: str = "pred",
-                     threshold: DataFrame | None = None) -> DataFrame:
-    """High/low classes at the median of ``actual`` (or a given one-row threshold)."""
-    thr = threshold if threshold is not None else df.agg(F.median(actual).alias("threshold"))
+                     threshold: DataFrame | None = None, approx: bool = False) -> DataFrame:
+    """High/low classes at the median of ``actual`` (or a given one-row threshold);
+    ``approx`` uses ``percentile_approx`` (bounded memory at scale)."""
+    med = F.percentile_approx(actual, 0.5, 10000) if approx else F.median(actual)
+    thr = threshold if threshold is not None else df.agg(med.alias("threshold"))
     j = df.crossJoin(one_row(thr))
     a = (F.col(actual) > F.col("threshold"))
     p = (F.col(pred) > F.col("threshold"))
@@ -86,7 +88,7 @@ def histogram_by_group(df: DataFrame, value: str, group: Sequence[str] = (), bin
     hi = F.when(F.col("_lo0") == F.col("_hi0"), F.col("_hi0") + 0.5).otherwise(F.col("_hi0"))
     stats = stats.select(*g, lo.alias("_lo"), hi.alias("_hi"), "group_mean")
     # Per-group stats are one row per group: bounded by the number of groups.
-    j = df.where(F.col(value).isNotNull()).join(stats, g) if g else \
+    j = df.where(F.col(value).isNotNull()).join(small_side(stats, materialize=True), g) if g else \
         df.where(F.col(value).isNotNull()).crossJoin(one_row(stats))
     idx = F.floor((F.col(value) - F.col("_lo")) * F.lit(float(bins)) / (F.col("_hi") - F.col("_lo")))
     j = j.withColumn("bin", F.least(idx, F.lit(bins - 1)).cast("int"))
@@ -99,21 +101,30 @@ def histogram_by_group(df: DataFrame, value: str, group: Sequence[str] = (), bin
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every ordered pair in one aggregate, as (f1, f2, corr)."""
-    aggs = [F.corr(a, b).alias(f"{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols)]
+    """Pearson correlation of every ordered pair, as (f1, f2, corr): one
+    aggregate over the upper triangle (the matrix is symmetric), mirrored."""
+    n = len(cols)
+    aggs = [F.corr(cols[i], cols[j]).alias(f"c{i}_{j}") for i in range(n) for j in range(i, n)]
     wide = df.agg(*aggs)
-    pairs = F.array(*[F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"),
-                               F.col(f"{i}_{j}").alias("corr"))
-                      for i, a in enumerate(cols) for j, b in enumerate(cols)])
+
+    def cell(i: int, j: int) -> F.Column:
+        a, b = (i, j) if i <= j else (j, i)
+        return F.col(f"c{a}_{b}")
+
+    pairs = F.array(*[F.struct(F.lit(cols[i]).alias("f1"), F.lit(cols[j]).alias("f2"), cell(i, j).alias("corr"))
+                      for i in range(n) for j in range(n)])
     out = wide.select(F.inline(pairs))
     return out.withColumn("corr", F.when(F.isnan("corr"), F.lit(None)).otherwise(F.col("corr")))
 
 
 def group_quantile_flag(df: DataFrame, score: str, group: Sequence[str], q: float = 0.7,
-                        flag: str = "highlight") -> DataFrame:
-    """Mark rows at or above the group's q-quantile (linear interpolation)."""
-    qs = df.groupBy(*group).agg(F.percentile(score, q).alias("_q"))
-    return df.join(qs, list(group)).withColumn(flag, F.col(score) >= F.col("_q")).drop("_q")
+                        flag: str = "highlight", approx: bool = False) -> DataFrame:
+    """Mark rows at or above the group's q-quantile (linear interpolation; the
+    ``approx`` switch bounds memory for large groups)."""
+    pct = F.percentile_approx(score, q, 10000) if approx else F.percentile(score, q)
+    qs = df.groupBy(*group).agg(pct.alias("_q"))
+    return df.join(small_side(qs, materialize=True), list(group)).withColumn(
+        flag, F.col(score) >= F.col("_q")).drop("_q")
 
 
 def batch_score(df: DataFrame, raw: str = "raw_pred", out: str = "predicted_xP",

@@ -270,14 +270,24 @@ def match_entity_longest(queries: DataFrame, names: DataFrame, query_col: str =
 
 
 def _match_join(queries: DataFrame, dic: DataFrame, query_col: str, id_col: str) -> DataFrame:
-    lengths = dic.select(F.length("_name").alias("_len")).distinct()
+    """Exact, fully distributed: for every distinct name length L, every length-L
+    substring of every query is a candidate; an equi-join on (L, hash, text)
+    against the names finds the hits. Fan-out per query is (text length x number
+    of distinct name lengths), independent of the dictionary size."""
+    lengths = dic.select(F.length(F.lower("_name")).alias("_len")).distinct()
     q = queries.select(id_col, F.lower(F.col(query_col)).alias("_q"))
-    q = q.crossJoin(F.broadcast(lengths))  # one row per distinct name length (bounded)
+    q = q.crossJoin(F.broadcast(lengths))  # one row per distinct name length (bounded by the longest name)
     q = q.where(F.length("_q") >= F.col("_len"))
-    q = q.select(id_col, "_len", F.explode(F.sequence(F.lit(1), F.length("_q") - F.col("_len") + 1)).alias("_s"), "_q")
-    q = q.select(id_col, "_len", F.expr("substring(_q, _s, _len)").alias("_sub")).distinct()
+    # Build the substrings inside one array expression, so exploded rows carry
+    # only (id, length, substring) and never a copy of the whole text.
+    subs = F.expr("transform(sequence(1, length(_q) - _len + 1), s -> substring(_q, s, _len))")
+    q = q.select(id_col, "_len", F.explode(subs).alias("_sub"))
+    q = q.withColumn("_h", F.xxhash64("_sub"))
     d = dic.select("_name", F.lower("_name").alias("_sub"), F.length(F.lower("_name")).alias("_len"))
-    return q.join(d, ["_len", "_sub"]).select(id_col, "_name")
+    d = d.withColumn("_h", F.xxhash64("_sub"))
+    # Join on the 64-bit hash and length, then confirm the text itself.
+    hits = q.join(d, ["_len", "_h"]).where(q["_sub"] == d["_sub"])
+    return hits.select(id_col, "_name").dropDuplicates([id_col, "_name"])
 
 
 def _match_automaton(queries: DataFrame, dic: DataFrame, query_col: str, id_col: str) -> DataFrame:
