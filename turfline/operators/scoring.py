@@ -19,12 +19,28 @@ from turfline.operators.upsert import assign_row_ids
 from turfline.plans.guards import one_row, small_side
 
 
-def impute_median(df: DataFrame, cols: Sequence[str], approx: bool = False,
-                  fit_on: DataFrame | None = None) -> DataFrame:
-    """NULL -> column median of ``fit_on`` (default: the full frame).
+# Exact medians keep every distinct value of a column in one aggregation
+# buffer; above this many distinct values the "auto" mode switches to
+# percentile_approx, whose buffer is bounded.
+EXACT_MEDIAN_MAX_DISTINCT = 5_000_000
+
+
+def use_approx(df: DataFrame, cols: Sequence[str], approx: bool | str) -> bool:
+    """Resolve ``approx``: True/False as given; "auto" checks the distinct counts
+    with one HyperLogLog aggregate (bounded memory) against the exact limit."""
+    if approx != "auto":
+        return bool(approx)
+    nd = df.agg(*[F.approx_count_distinct(c).alias(f"_nd{i}") for i, c in enumerate(cols)]).first()
+    return max(nd) > EXACT_MEDIAN_MAX_DISTINCT
 
-    ``approx`` switches to ``percentile_approx`` (bounded memory at scale)."""
+
+def impute_median(df: DataFrame, cols: Sequence[str], approx: bool | str = "auto",
+                  fit_on: DataFrame | None = None) -> DataFrame:
+    """NULL -> column median of ``fit_on`` (default: the full frame), interpolated
+    like numpy; ``approx`` (or "auto" above the distinct limit) switches to
+    ``percentile_approx`` (bounded memory at scale)."""
     src = fit_on if fit_on is not None else df
+    approx = use_approx(src, cols, approx)
     med = (lambda c: F.percentile_approx(c, 0.5, 10000)) if approx else F.median
     stats = src.agg(*[med(F.col(c).cast("double")).alias(f"_med_{c}") for c in cols])
     out = df.crossJoin(one_row(stats))
@@ -63,10 +79,11 @@ def residuals(df: DataFrame, actual: str = "actual", pred: str = "pred") -> Data
 
 
 def confusion_matrix(df: DataFrame, actual: str = "actual", pred: str = "pred",
-                     threshold: DataFrame | None = None, approx: bool = False) -> DataFrame:
+                     threshold: DataFrame | None = None, approx: bool | str = "auto") -> DataFrame:
     """High/low classes at the median of ``actual`` (or a given one-row threshold);
     ``approx`` uses ``percentile_approx`` (bounded memory at scale)."""
-    med = F.percentile_approx(actual, 0.5, 10000) if approx else F.median(actual)
+    med = (F.percentile_approx(actual, 0.5, 10000) if threshold is None and use_approx(df, [actual], approx)
+           else F.median(actual))
     thr = threshold if threshold is not None else df.agg(med.alias("threshold"))
     j = df.crossJoin(one_row(thr))
     a = (F.col(actual) > F.col("threshold"))
