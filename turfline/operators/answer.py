@@ -68,7 +68,7 @@ def retrieve_context(index: DataFrame, questions: DataFrame, k: int = K.ANSWER_K
     corpus = index.select("doc_id", "embedding", "name", "page_content")
     hits = VX.retrieve_hybrid(corpus, q, k, query_id=id_col, doc_id="doc_id", filter_col="name",
                               content_col="page_content")
-    lines = hits.join(corpus.select("doc_id", "page_content"), "doc_id")
+    lines = hits.join(VX.fetch_by_ids(corpus, hits, "doc_id", ["page_content"], VX.MAX_BROADCAST_QUERIES * k), "doc_id")
     ctx = lines.groupBy(id_col).agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", "page_content"))),
                                  lambda x: F.concat(F.lit("- "), x["page_content"])), "\n").alias("context"),
