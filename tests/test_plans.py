@@ -46,3 +46,28 @@ def test_no_row_at_a_time_python_udf_in_feature_table(spark):
     ft = FT.feature_table(FX.fx_players(spark, SF), FX.fx_teams(spark, SF), FX.fx_fixtures(spark, SF))
     p = _plan(ft)
     assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p
+
+
+def test_watermark_filter_reaches_the_scan(spark):
+    from turfline.operators.upsert import incremental_since_watermark
+
+    news = FX.fx_news(spark, SF)
+    p = _plan(incremental_since_watermark(news, 123).select("id"))
+    assert "GreaterThan(doc_id,123)" in p
+
+
+def test_trailing_frames_use_no_entity_window(spark):
+    from turfline.operators.windows import last_n_turns
+
+    h = last_n_turns(FX.fx_queries(spark, SF), 4)
+    p = h._jdf.queryExecution().optimizedPlan().toString()
+    # the only window is over the per-partition counts (no entity key)
+    assert "conv_id" not in "".join(line for line in p.splitlines() if "Window [" in line)
+
+
+def test_upsert_is_partial_aggregate(spark):
+    from turfline.operators.upsert import latest_by_key
+
+    p = _plan(latest_by_key(FX.fx_history_raw(spark, SF), ["player_id", "round"], ["seq"]))
+    assert "partial_max_by" in p or "max_by" in p
+    assert "Window" not in p

@@ -73,8 +73,13 @@ def q_retrieve_hybrid(spark, sf):
     return VX.retrieve_hybrid(corpus, queries, K.RETRIEVE_K, filter_col="label", exclude_self=True)
 
 
-@register("embed_text")
+@register("embed_text", oracle="""
+SELECT doc_id, 256 AS dims,
+       CASE WHEN regexp_matches(COALESCE(text, ''), '[0-9A-Za-z_]') THEN 1.0E0 ELSE 0.0E0 END AS sq_norm
+FROM documents""", rounded=["sq_norm:4"])
 def q_embed_text(spark, sf):
+    # Checked through its invariants: 256 hashed dimensions, unit L2 norm for any
+    # text with a word token, zero vector otherwise.
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
     e = VX.embed_text(docs, "text")
     return e.select("doc_id", F.size("embedding").alias("dims"),
