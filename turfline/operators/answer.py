@@ -17,6 +17,7 @@ from turfline.operators import text as TX
 from turfline.operators import vectors as VX
 from turfline.operators.scoring import classify_advice
 from turfline.operators.windows import last_n_turns
+from turfline.plans.guards import small_side
 
 NOT_FOUND_NEWS = "Player not found in database."
 NOT_FOUND_ADVICE = "Try searching by the player's FPL web name (e.g., Salah, Haaland, Saka)."
@@ -39,8 +40,13 @@ def predict_for_questions(questions: DataFrame, scored: DataFrame, query_col: st
     ``scored``: web_name, raw_pred, position_name, has_injury_news, is_available.
     Questions without a match get the not-found record."""
     match = TX.match_entity_longest(questions, scored.select("web_name"), query_col, "web_name", id_col)
-    j = (questions.select(id_col, query_col).join(match, id_col)
-         .join(scored.withColumnRenamed("web_name", "matched"), "matched", "left"))
+    j = questions.select(id_col, query_col).join(match, id_col)
+    # Unmatched questions (NULL name) bypass the lookup join instead of sharing
+    # one shuffle partition; the dictionary side is broadcast when checked small.
+    hit = j.where(F.col("matched").isNotNull()).join(
+        small_side(scored.withColumnRenamed("web_name", "matched")), "matched", "left")
+    miss = j.where(F.col("matched").isNull())
+    j = hit.unionByName(miss, allowMissingColumns=True)
     xp = F.greatest(round_half_even("raw_pred", 1), F.lit(0.0))
     j = j.withColumn("xp", xp)
     found = F.col("matched").isNotNull()

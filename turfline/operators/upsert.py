@@ -158,7 +158,10 @@ def advance_watermark(batch: DataFrame, old_mark: int | DataFrame, id_col: str =
 
 def refresh_by_key(stored: DataFrame, new_docs: DataFrame, key: str = "name") -> DataFrame:
     """Delete every stored row whose ``key`` occurs in the new batch, then add
-    the batch. Rows with a NULL key are never deleted."""
+    the batch. Rows with a NULL key are never deleted; they bypass the anti join
+    entirely, so NULL keys (e.g. every news chunk) never pile into one shuffle
+    partition."""
     gone = new_docs.select(key).where(F.col(key).isNotNull()).distinct()
-    kept = stored.join(gone, on=key, how="left_anti")
-    return kept.unionByName(new_docs.select(*stored.columns))
+    keyed = stored.where(F.col(key).isNotNull()).join(gone, on=key, how="left_anti")
+    unkeyed = stored.where(F.col(key).isNull())
+    return keyed.select(*stored.columns).unionByName(unkeyed).unionByName(new_docs.select(*stored.columns))
