@@ -113,8 +113,9 @@ def stream_insert_if_absent(spark: SparkSession, source_path: str, schema, key:
 
 
 def write_ordered_files(df: DataFrame, order_col: str, path: str, parts: int = 4) -> str:
-    """Write ``df`` as ``parts`` files in ascending ``order_col`` ranges, one write
-    per range so file times follow the range order (the arrival order)."""
+    """Replay a table as an ordered arrival sequence (test input for the file
+    source): ``parts`` files in ascending ``order_col`` ranges, one write per
+    range so file times follow the range order. Not a production write path."""
     spark = df.sparkSession
     bounds = df.agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).first()  # one row
     lo, hi = bounds["lo"], bounds["hi"]
