@@ -19,7 +19,7 @@ def search_entities(players: DataFrame, patterns: DataFrame, limit: int = 10,
     pats = small_side(patterns.select(F.lower("pattern").alias("pattern")).distinct())
     name, team = F.lower(F.col("web_name")), F.lower(F.col("team_name"))
     if regex:
-        cond = name.rlike(F.col("pattern")) | F.coalesce(team.rlike(F.col("pattern")), F.lit(False))
+        cond = F.regexp_like(name, F.col("pattern")) | F.coalesce(F.regexp_like(team, F.col("pattern")), F.lit(False))
     else:
         cond = name.contains(F.col("pattern")) | F.coalesce(team.contains(F.col("pattern")), F.lit(False))
     hits = players.join(pats, cond, "inner")
