@@ -309,3 +309,19 @@ def q_standardize(spark, sf):
     ft = ML.train_test_split(FT.feature_table(*_inputs(spark, sf)), "id")
     z = ML.standardize(ft, K.FEATURE_COLS, fit_on=ft.where(~F.col("is_test")))
     return z.select("id", *[F.col(c).alias(f"z_{c}") for c in K.FEATURE_COLS])
+
+
+@register("residual_histogram", oracle="""
+SELECT bin, COUNT(*) AS count, FIRST(lo) + bin * ((FIRST(hi) - FIRST(lo)) / 30.0E0) AS bin_lo, FIRST(m) AS group_mean
+FROM (SELECT r, lo, hi, m, CAST(LEAST(FLOOR((r - lo) * 30.0E0 / (hi - lo)), 29) AS INTEGER) AS bin
+      FROM (SELECT actual - raw_pred AS r FROM fx_scored) x
+      CROSS JOIN (SELECT CASE WHEN MIN(actual - raw_pred) = MAX(actual - raw_pred) THEN MIN(actual - raw_pred) - 0.5
+                              ELSE MIN(actual - raw_pred) END AS lo,
+                         CASE WHEN MIN(actual - raw_pred) = MAX(actual - raw_pred) THEN MAX(actual - raw_pred) + 0.5
+                              ELSE MAX(actual - raw_pred) END AS hi,
+                         AVG(actual - raw_pred) AS m FROM fx_scored) s) b
+GROUP BY bin""", fx=["fx_scored"], rounded=["bin_lo", "group_mean:4"])
+def q_residual_histogram(spark, sf):
+    # The residual view: 30 equal-width bins over all rows, plus the mean.
+    r = SC.residuals(FX.fx_scored(spark, sf), "actual", "raw_pred").select("residual")
+    return SC.histogram_by_group(r, "residual", [], 30)
