@@ -27,24 +27,31 @@ def _features(spark, sf):
     return _CACHE[key]
 
 
-def _trained(spark, sf):
-    key = ("models", id(spark), sf)
+def _trained_one(spark, sf, kind):
+    key = ("model", id(spark), sf, kind)
     if key not in _CACHE:
-        models, metrics = ML.train_and_evaluate(_features(spark, sf))
-        _CACHE[key] = (models, metrics.cache())
+        models, metrics = ML.train_and_evaluate(_features(spark, sf), kinds=(kind,))
+        _CACHE[key] = (models[kind], metrics.cache())
     return _CACHE[key]
 
 
+def _trained(spark, sf):
+    models, metrics = {}, None
+    for kind in ("RandomForest", "GradientBoosted"):
+        m, met = _trained_one(spark, sf, kind)
+        models[kind] = m
+        metrics = met if metrics is None else metrics.unionByName(met)
+    return models, metrics
+
+
 @register("train_random_forest")
 def q_train_random_forest(spark, sf):
-    _, metrics = _trained(spark, sf)
-    return metrics.where(F.col("model") == "RandomForest")
+    return _trained_one(spark, sf, "RandomForest")[1]
 
 
 @register("train_boosted_trees")
 def q_train_boosted_trees(spark, sf):
-    _, metrics = _trained(spark, sf)
-    return metrics.where(F.col("model") == "GradientBoosted")
+    return _trained_one(spark, sf, "GradientBoosted")[1]
 
 
 @register("select_best_model")
