@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turfline.plans.guards import one_row
+from turfline.plans.guards import DEFAULT_BROADCAST_ROWS, bounded_count, one_row
 
 
 def _pick_by_key(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], last: bool) -> DataFrame:
@@ -51,10 +51,19 @@ def upsert_by_key(existing: DataFrame, updates: DataFrame, keys: Sequence[str],
 
 
 def insert_if_absent(existing: DataFrame, batch: DataFrame, key: str = "url",
-                     order_col: str = "id") -> DataFrame:
+                     order_col: str = "id", max_broadcast_keys: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Rows of ``batch`` whose ``key`` is not stored yet; first occurrence in the
-    batch wins; stored rows never change. Returns only the rows to insert."""
+    batch wins; stored rows never change. Returns only the rows to insert.
+
+    When the batch's keys are under the bound (a micro-batch), the stored table
+    is scanned (key column only) against a broadcast of those keys to find the
+    ones already present, so the stored side is never shuffled; larger batches
+    use a plain anti join."""
     firsts = first_by_key(batch, [key], [order_col])
+    keys = firsts.select(key)
+    if bounded_count(keys, max_broadcast_keys) <= max_broadcast_keys:
+        present = existing.select(key).join(F.broadcast(keys), on=key, how="left_semi")
+        return firsts.join(present, on=key, how="left_anti")
     return firsts.join(existing.select(key), on=key, how="left_anti")
 
 

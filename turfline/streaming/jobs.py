@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turfline.operators import text as TX
-from turfline.operators.upsert import first_by_key, latest_by_key
+from turfline.operators.upsert import insert_if_absent, latest_by_key
 from turfline.session import ensure_checkpoint_dir
 
 
@@ -93,8 +93,7 @@ def stream_insert_if_absent(spark: SparkSession, source_path: str, schema, key:
             stored = s.read.parquet(table_path).where(F.col("epoch") != epoch)
         else:
             stored = s.createDataFrame([], schema)
-        new = first_by_key(batch.select(*fields), [key], [order_col]).join(
-            stored.select(key), key, "left_anti")
+        new = insert_if_absent(stored, batch.select(*fields), key, order_col)
         new = new.persist()
         inserted = new.limit(1).count()
         new.write.mode("overwrite").parquet(os.path.join(table_path, f"epoch={epoch}"))
