@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from turfline import constants as K
 from turfline.functions.columns import col_of, keyword_regex
-from turfline.plans.guards import DEFAULT_BROADCAST_ROWS, bounded_count, spread
+from turfline.plans.guards import DEFAULT_BROADCAST_ROWS, bounded_count, small_side, spread
 
 # ---------------------------------------------------------------- document rendering
 
@@ -276,7 +276,7 @@ def _match_join(queries: DataFrame, dic: DataFrame, query_col: str, id_col: str)
     of distinct name lengths), independent of the dictionary size."""
     lengths = dic.select(F.length(F.lower("_name")).alias("_len")).distinct()
     q = queries.select(id_col, F.lower(F.col(query_col)).alias("_q"))
-    q = q.crossJoin(F.broadcast(lengths))  # one row per distinct name length (bounded by the longest name)
+    q = q.crossJoin(small_side(lengths))  # one row per distinct name length (checked; bounded by the longest name)
     q = q.where(F.length("_q") >= F.col("_len"))
     # Build the substrings inside one array expression, so exploded rows carry
     # only (id, length, substring) and never a copy of the whole text.
