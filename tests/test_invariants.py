@@ -89,22 +89,22 @@ def test_refresh_by_key_keeps_null_keys(spark):
     assert out == sorted([(None, "news"), ("a", "new")], key=str)
 
 
-def _trigram_encoder():
-    import zlib
-
-    def encode(texts):
-        out = np.zeros((len(texts), 32), dtype=np.float32)
-        for i, t in enumerate(texts):
-            for j in range(max(0, len(t) - 2)):
-                out[i, zlib.crc32(t[j:j + 3].encode()) % 32] += 1.0
-            n = np.linalg.norm(out[i])
-            if n:
-                out[i] /= n
-        return out
-    return encode
-
-
 def test_pluggable_encoder_matches_local_call(spark):
+    # Defined here so the worker unpickles it by value (the test module is not importable there).
+    def _trigram_encoder():
+        import zlib
+
+        def encode(texts):
+            out = np.zeros((len(texts), 32), dtype=np.float32)
+            for i, t in enumerate(texts):
+                for j in range(max(0, len(t) - 2)):
+                    out[i, zlib.crc32(t[j:j + 3].encode()) % 32] += 1.0
+                n = np.linalg.norm(out[i])
+                if n:
+                    out[i] /= n
+            return out
+        return encode
+
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(50)
     got = {r["doc_id"]: np.array(r["embedding"]) for r in VX.embed_with(docs, "text", _trigram_encoder).collect()}
     enc = _trigram_encoder()

@@ -17,7 +17,7 @@ from turfline.operators import text as TX
 from turfline.operators import vectors as VX
 from turfline.operators.scoring import classify_advice
 from turfline.operators.windows import last_n_turns
-from turfline.plans.guards import small_side
+from turfline.plans.guards import reuse, small_side
 
 NOT_FOUND_NEWS = "Player not found in database."
 NOT_FOUND_ADVICE = "Try searching by the player's FPL web name (e.g., Salah, Haaland, Saka)."
@@ -74,6 +74,7 @@ def retrieve_context(index: DataFrame, questions: DataFrame, k: int = K.ANSWER_K
     corpus = index.select("doc_id", "embedding", "name", "page_content")
     hits = VX.retrieve_hybrid(corpus, q, k, query_id=id_col, doc_id="doc_id", filter_col="name",
                               content_col="page_content")
+    hits = reuse(hits)  # read by the id probe and by the join
     lines = hits.join(VX.fetch_by_ids(corpus, hits, "doc_id", ["page_content"], VX.MAX_BROADCAST_QUERIES * k), "doc_id")
     ctx = lines.groupBy(id_col).agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", "page_content"))),

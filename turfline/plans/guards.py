@@ -39,6 +39,15 @@ def small_side(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
     return df
 
 
+def reuse(df: DataFrame) -> DataFrame:
+    """Persist a derived frame that is read more than once (a size probe plus
+    the join, or two branches of one plan), so its upstream work (e.g. a k-NN
+    scan of the whole corpus) runs once. Only for results bounded by the query
+    side (queries x k rows), never for corpus-sized frames; MEMORY_AND_DISK
+    spills instead of failing, and lost blocks are recomputed from lineage."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def one_row(df: DataFrame) -> DataFrame:
     """Broadcast a global (ungrouped) aggregate: exactly one row by construction."""
     return F.broadcast(df)
