@@ -131,24 +131,27 @@ def feature_frame(players: DataFrame, teams: DataFrame, fixtures: DataFrame) ->
     gws = one_row(finished_gameweeks(fixtures))
     p = p.crossJoin(gws)
     fgw = F.col("finished_gws")
-    p = (p.withColumn("appearance_rate", F.col("minutes") / (fgw * F.lit(90.0)))
-          .withColumn("avg_minutes_per_gw", F.col("minutes") / fgw)
-          .withColumn("pts_per_90", per_90("total_points"))
-          .withColumn("pts_per_million", safe_div("total_points", "price"))
-          .withColumn("pts_per_gw", F.col("total_points") / fgw)
-          .withColumn("goal_contributions", F.col("goals_scored") + F.col("assists"))
-          .withColumn("gc_per_90", per_90("goal_contributions"))
-          .withColumn("goals_per_90", per_90("goals_scored"))
-          .withColumn("assists_per_90", per_90("assists"))
-          .withColumn("bonus_per_90", per_90("bonus"))
-          .withColumn("cs_per_90", per_90("clean_sheets"))
-          .withColumn("ict_per_90", per_90("ict_index")))
-
-    p = (p.withColumn("form", F.coalesce(F.col("form").try_cast("double"), F.lit(0.0)))
-          .withColumn("form_tier", right_closed_tier("form", K.FORM_EDGES, K.FORM_LABELS))
-          .withColumn("ownership", F.coalesce(F.col("selected_by_pct").try_cast("double"), F.lit(0.0)))
-          .withColumn("ownership_tier",
-                      right_closed_tier("ownership", K.OWNERSHIP_EDGES, K.OWNERSHIP_LABELS)))
+    # Batched projections (one analysis pass each; later batches read earlier ones).
+    p = p.withColumns({
+        "appearance_rate": F.col("minutes") / (fgw * F.lit(90.0)),
+        "avg_minutes_per_gw": F.col("minutes") / fgw,
+        "pts_per_90": per_90("total_points"),
+        "pts_per_million": safe_div("total_points", "price"),
+        "pts_per_gw": F.col("total_points") / fgw,
+        "goal_contributions": F.col("goals_scored") + F.col("assists"),
+        "goals_per_90": per_90("goals_scored"),
+        "assists_per_90": per_90("assists"),
+        "bonus_per_90": per_90("bonus"),
+        "cs_per_90": per_90("clean_sheets"),
+        "ict_per_90": per_90("ict_index"),
+        "form": F.coalesce(F.col("form").try_cast("double"), F.lit(0.0)),
+        "ownership": F.coalesce(F.col("selected_by_pct").try_cast("double"), F.lit(0.0)),
+    })
+    p = p.withColumns({
+        "gc_per_90": per_90("goal_contributions"),
+        "form_tier": right_closed_tier("form", K.FORM_EDGES, K.FORM_LABELS),
+        "ownership_tier": right_closed_tier("ownership", K.OWNERSHIP_EDGES, K.OWNERSHIP_LABELS),
+    })
 
     # Team goal averages: left join, NULL for teams without a finished game.
     ts = team_goal_stats(fixtures).select(
@@ -160,10 +163,11 @@ def feature_frame(players: DataFrame, teams: DataFrame, fixtures: DataFrame) ->
     # Upcoming difficulty: left join, fall back to own strength and 0 fixtures.
     fd = fixture_difficulty(fixtures, teams).withColumnRenamed("team_id", "_fd_team")
     p = p.join(small_side(fd, materialize=True), p.team_id == fd._fd_team, "left").drop("_fd_team")
-    p = (p.withColumn("avg_opp_strength",
-                      F.coalesce(F.col("avg_opp_strength"), F.col("strength").cast("double")))
-          .withColumn("fixture_count", F.coalesce(F.col("fixture_count"), F.lit(0)).cast("long"))
-          .withColumn("fixture_ease", clip_col(F.lit(K.EASE_BASE) - F.col("avg_opp_strength"), lower=0.0)))
+    p = p.withColumns({
+        "avg_opp_strength": F.coalesce(F.col("avg_opp_strength"), F.col("strength").cast("double")),
+        "fixture_count": F.coalesce(F.col("fixture_count"), F.lit(0)).cast("long"),
+    })
+    p = p.withColumn("fixture_ease", clip_col(F.lit(K.EASE_BASE) - F.col("avg_opp_strength"), lower=0.0))
     return add_xp(p)
 
 
