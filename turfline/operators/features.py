@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from turfline import constants as K
 from turfline.functions.columns import (clip_col, keyword_flag, label_map, one_hot, per_90,
                                         right_closed_tier, round_half_even, safe_div)
-from turfline.plans.guards import one_row, small_side
+from turfline.plans.guards import small_side, with_scalars
 
 
 # ---------------------------------------------------------------- projections / flags
@@ -128,8 +128,7 @@ def feature_frame(players: DataFrame, teams: DataFrame, fixtures: DataFrame) ->
     t = teams.select(F.col("id").alias("id_team"), "name", "short_name", "strength")
     p = p.join(small_side(t), p.team_id == t.id_team, "inner")
 
-    gws = one_row(finished_gameweeks(fixtures))
-    p = p.crossJoin(gws)
+    p = with_scalars(p, finished_gameweeks(fixtures))
     fgw = F.col("finished_gws")
     # Batched projections (one analysis pass each; later batches read earlier ones).
     p = p.withColumns({
@@ -172,11 +171,9 @@ def feature_frame(players: DataFrame, teams: DataFrame, fixtures: DataFrame) ->
 
 
 def fixture_ease_factor(df: DataFrame) -> DataFrame:
-    """factor = ease / max(mean ease over all rows, 1e-9) (global mean as a broadcast scalar)."""
+    """factor = ease / max(mean ease over all rows, 1e-9) (global mean as a scalar subquery)."""
     mean = df.agg(F.greatest(F.avg("fixture_ease"), F.lit(K.EASE_EPS)).alias("_mean_ease"))
-    return (df.crossJoin(one_row(mean))
-              .withColumn("fixture_ease_factor", F.col("fixture_ease") / F.col("_mean_ease"))
-              .drop("_mean_ease"))
+    return df.withColumn("fixture_ease_factor", F.col("fixture_ease") / mean.scalar())
 
 
 def add_xp(df: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from turfline import constants as K
 from turfline.functions.columns import clip_col, round_half_even
-from turfline.plans.guards import one_row
+from turfline.plans.guards import with_scalars
 from turfline.session import ensure_checkpoint_dir
 
 _M = 2147483648  # 2^31
@@ -53,7 +53,7 @@ def standardize(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None = N
     for c in cols:
         aggs += [F.avg(F.col(c).cast("double")).alias(f"_mu_{c}"),
                  F.stddev_pop(F.col(c).cast("double")).alias(f"_sd_{c}")]
-    out = df.crossJoin(one_row(src.agg(*aggs)))
+    out = with_scalars(df, src.agg(*aggs))
     for c in cols:
         sd = F.coalesce(F.when(F.col(f"_sd_{c}") != 0, F.col(f"_sd_{c}")), F.lit(1.0))
         out = out.withColumn(c, (F.col(c).cast("double") - F.col(f"_mu_{c}")) / sd)
@@ -127,8 +127,8 @@ def cross_validate(features: DataFrame, kind: str, folds: int = K.CV_FOLDS,
     df = prepare(features)
     ranked = rank_all(df, ["id"], rank_col="_pos")
     n = df.agg(F.count(F.lit(1)).alias("_n"))
-    ranked = ranked.crossJoin(one_row(n)).withColumn(
-        "fold", (F.floor((F.col("_pos") - 1) * folds / F.col("_n"))).cast("int")).drop("_pos", "_n")
+    ranked = ranked.withColumn(
+        "fold", (F.floor((F.col("_pos") - 1) * folds / n.scalar())).cast("int")).drop("_pos")
     est = build_pipeline(kind, **overrides)
     ev = RegressionEvaluator(labelCol=K.TARGET, predictionCol="prediction", metricName="mae")
     cv = CrossValidator(estimator=est, estimatorParamMaps=ParamGridBuilder().build(), evaluator=ev,
@@ -197,7 +197,7 @@ def report_frame(metrics: DataFrame, importances: DataFrame, features: DataFrame
                        F.sum(F.when(F.col("is_test"), 1).otherwise(0)).cast("long").alias("test_size"))
     ds = counts.select(F.struct("active_players", F.lit(len(K.FEATURE_COLS)).alias("features"),
                                 "train_size", "test_size").alias("dataset"))
-    return (one_row(best).crossJoin(one_row(metrics_map)).crossJoin(one_row(top)).crossJoin(one_row(ds)))
+    return with_scalars(with_scalars(with_scalars(best, metrics_map), top), ds)
 
 
 def write_report(report: DataFrame, path: str) -> None:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from turfline import constants as K
 from turfline.functions.columns import clip_col, round_half_even, safe_div
 from turfline.operators.upsert import assign_row_ids
-from turfline.plans.guards import one_row, small_side
+from turfline.plans.guards import small_side, with_scalars
 
 
 # Exact medians keep every distinct value of a column in one aggregation
@@ -43,7 +43,7 @@ def impute_median(df: DataFrame, cols: Sequence[str], approx: bool | str = "auto
     approx = use_approx(src, cols, approx)
     med = (lambda c: F.percentile_approx(c, 0.5, 10000)) if approx else F.median
     stats = src.agg(*[med(F.col(c).cast("double")).alias(f"_med_{c}") for c in cols])
-    out = df.crossJoin(one_row(stats))
+    out = with_scalars(df, stats)
     out = out.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_med_{c}")) for c in cols})
     return out.drop(*[f"_med_{c}" for c in cols])
 
@@ -53,7 +53,7 @@ def normalize_minmax(df: DataFrame, cols: Sequence[str], suffix: str = "_norm")
     aggs = []
     for c in cols:
         aggs += [F.min(c).alias(f"_mn_{c}"), F.max(c).alias(f"_mx_{c}")]
-    out = df.crossJoin(one_row(df.agg(*aggs)))
+    out = with_scalars(df, df.agg(*aggs))
     for c in cols:
         mn, mx = F.col(f"_mn_{c}"), F.col(f"_mx_{c}")
         out = out.withColumn(f"{c}{suffix}", (F.col(c) - mn) / (mx - mn + F.lit(K.MINMAX_EPS)))
@@ -85,7 +85,7 @@ def confusion_matrix(df: DataFrame, actual: str = "actual", pred: str = "pred",
     med = (F.percentile_approx(actual, 0.5, 10000) if threshold is None and use_approx(df, [actual], approx)
            else F.median(actual))
     thr = threshold if threshold is not None else df.agg(med.alias("threshold"))
-    j = df.crossJoin(one_row(thr))
+    j = with_scalars(df, thr.select("threshold"))
     a = (F.col(actual) > F.col("threshold"))
     p = (F.col(pred) > F.col("threshold"))
     s = lambda cond: F.sum(F.when(cond, 1).otherwise(0)).cast("long")
@@ -106,7 +106,7 @@ def histogram_by_group(df: DataFrame, value: str, group: Sequence[str] = (), bin
     stats = stats.select(*g, lo.alias("_lo"), hi.alias("_hi"), "group_mean")
     # Per-group stats are one row per group: bounded by the number of groups.
     j = df.where(F.col(value).isNotNull()).join(small_side(stats, materialize=True), g) if g else \
-        df.where(F.col(value).isNotNull()).crossJoin(one_row(stats))
+        with_scalars(df.where(F.col(value).isNotNull()), stats)
     idx = F.floor((F.col(value) - F.col("_lo")) * F.lit(float(bins)) / (F.col("_hi") - F.col("_lo")))
     j = j.withColumn("bin", F.least(idx, F.lit(bins - 1)).cast("int"))
     out = j.groupBy(*g, "bin").agg(F.count(F.lit(1)).alias("count"),

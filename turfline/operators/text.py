@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from turfline import constants as K
 from turfline.functions.columns import col_of, keyword_regex
-from turfline.plans.guards import DEFAULT_BROADCAST_ROWS, bounded_count, small_side, spread
+from turfline.plans.guards import DEFAULT_BROADCAST_ROWS, bounded_count, spread
 
 # ---------------------------------------------------------------- document rendering
 
@@ -274,9 +274,11 @@ def _match_join(queries: DataFrame, dic: DataFrame, query_col: str, id_col: str)
     substring of every query is a candidate; an equi-join on (L, hash, text)
     against the names finds the hits. Fan-out per query is (text length x number
     of distinct name lengths), independent of the dictionary size."""
-    lengths = dic.select(F.length(F.lower("_name")).alias("_len")).distinct()
+    # The distinct name lengths: one array bounded by the longest name, attached
+    # as a scalar subquery and exploded (no join).
+    lengths = dic.agg(F.array_sort(F.collect_set(F.length(F.lower("_name")))).alias("_lens"))
     q = queries.select(id_col, F.lower(F.col(query_col)).alias("_q"))
-    q = q.crossJoin(small_side(lengths))  # one row per distinct name length (checked; bounded by the longest name)
+    q = q.withColumn("_len", F.explode(lengths.scalar()))
     q = q.where(F.length("_q") >= F.col("_len"))
     # Build the substrings inside one array expression, so exploded rows carry
     # only (id, length, substring) and never a copy of the whole text.

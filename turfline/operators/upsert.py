@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turfline.plans.guards import DEFAULT_BROADCAST_ROWS, bounded_count, one_row
+from turfline.plans.guards import DEFAULT_BROADCAST_ROWS, bounded_count
 
 
 def _pick_by_key(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], last: bool) -> DataFrame:
@@ -73,8 +73,7 @@ def insert_if_absent_count(existing: DataFrame, batch: DataFrame, key: str = "ur
     new = insert_if_absent(existing, batch, key, order_col)
     n_new = new.agg(F.count(F.lit(1)).alias("inserted"))
     n_old = existing.agg(F.count(F.lit(1)).alias("_old"))
-    return (n_new.crossJoin(one_row(n_old))
-            .select("inserted", (F.col("inserted") + F.col("_old")).alias("total")))
+    return n_new.select("inserted", (F.col("inserted") + n_old.scalar()).alias("total"))
 
 
 def assign_row_ids(df: DataFrame, order_cols: Sequence, start: int | DataFrame = 1,
@@ -100,8 +99,7 @@ def assign_row_ids(df: DataFrame, order_cols: Sequence, start: int | DataFrame =
     out = tagged.join(F.broadcast(offsets), "_p")
     local = F.col("_m") - F.shiftleft(F.col("_p").cast("long"), 33)
     if isinstance(start, DataFrame):
-        out = out.crossJoin(one_row(start.select(F.col("start").cast("long").alias("_start"))))
-        base = F.col("_start")
+        base = start.select(F.col("start").cast("long")).scalar()
     else:
         base = F.lit(int(start))
     return out.withColumn(id_col, base + F.col("_off") + local).drop("_p", "_m", "_off", "_start")
@@ -160,8 +158,7 @@ def advance_watermark(batch: DataFrame, old_mark: int | DataFrame, id_col: str =
     old = F.lit(int(old_mark)) if not isinstance(old_mark, DataFrame) else None
     agg = batch.agg(F.max(id_col).cast("long").alias("_mx"))
     if old is None:
-        agg = agg.crossJoin(one_row(old_mark.select(F.col("value").cast("long").alias("_old"))))
-        old = F.col("_old")
+        old = old_mark.select(F.col("value").cast("long")).scalar()
     return agg.select(F.coalesce("_mx", old).alias("mark"))
 
 

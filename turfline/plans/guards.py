@@ -2,8 +2,8 @@
 
 Policy
 ------
-* A one-row global aggregate is broadcast unconditionally: its size is one row
-  by construction (``one_row``).
+* A one-row global aggregate (or state row) is never joined: its columns are
+  attached as scalar subqueries (``with_scalars``), computed once and inlined.
 * Any other side is broadcast only after a bounded row count proves it small
   (``small_side``). Beyond the bound it is returned unchanged and the planner
   falls back to a shuffle (sort-merge) join, which AQE may still demote to a
@@ -48,9 +48,14 @@ def reuse(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def one_row(df: DataFrame) -> DataFrame:
-    """Broadcast a global (ungrouped) aggregate: exactly one row by construction."""
-    return F.broadcast(df)
+def with_scalars(df: DataFrame, one: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """Attach the columns of a one-row frame (a global aggregate, a state row)
+    to every row of ``df`` as scalar subqueries: each value is computed once and
+    inlined into the projection, so there is no join and no pairs table. Spark
+    merges scalar subqueries over the same aggregate (``MergeScalarSubqueries``),
+    so several columns cost one evaluation; more than one row is an error
+    instead of a silent multiplication of ``df``."""
+    return df.withColumns({c: one.select(c).scalar() for c in (cols or one.columns)})
 
 
 def spread(df: DataFrame) -> DataFrame:

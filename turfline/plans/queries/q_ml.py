@@ -15,7 +15,7 @@ from turfline.operators import features as FT
 from turfline.operators import ml as ML
 from turfline.plans.catalog import register
 from turfline.plans.queries.q_features import FEATURE_FX, FEATURE_SELECT, ORACLE_FEATURE_CTES, _inputs
-from turfline.plans.guards import one_row
+from turfline.plans.guards import with_scalars
 from turfline.session import ensure_checkpoint_dir
 
 _CACHE: dict = {}
@@ -84,7 +84,7 @@ def q_model_bundle(spark, sf):
     path = ML.save_bundle(model, metrics, name, bundle=f"{name}_{os.path.basename(sf.rstrip('/'))}")
     loaded, meta = ML.load_bundle(spark, path)
     scored = ML.batch_predict(loaded, _features(spark, sf))
-    return scored.crossJoin(one_row(meta.select("model_name")))  # one metadata row
+    return with_scalars(scored, meta, ["model_name"])  # one metadata row
 
 
 @register("report_json")

@@ -213,9 +213,9 @@ SELECT id, actual - raw_pred AS residual, AVG(actual - raw_pred) OVER () AS mean
           fx=["fx_scored"], rounded=["residual", "mean_residual"])
 def q_residuals(spark, sf):
     s = SC.residuals(FX.fx_scored(spark, sf), "actual", "raw_pred")
-    from turfline.plans.guards import one_row
+    from turfline.plans.guards import with_scalars
     mean = s.agg(F.avg("residual").alias("mean_residual"))
-    return s.crossJoin(one_row(mean)).select("id", "residual", "mean_residual")
+    return with_scalars(s, mean).select("id", "residual", "mean_residual")
 
 
 @register("histogram_by_group", oracle="""
