@@ -42,6 +42,14 @@ def test_feature_table_does_not_shuffle_players(spark):
     assert p  # plan builds
 
 
+def test_feature_table_has_no_cross_join(spark):
+    """Global scalars arrive as scalar subqueries, not as joins of every row."""
+    ft = FT.feature_table(FX.fx_players(spark, SF), FX.fx_teams(spark, SF), FX.fx_fixtures(spark, SF))
+    phys = _plan(ft)
+    assert "CartesianProduct" not in phys and "BroadcastNestedLoopJoin" not in phys
+    assert "Subquery" in phys
+
+
 def test_no_row_at_a_time_python_udf_in_feature_table(spark):
     ft = FT.feature_table(FX.fx_players(spark, SF), FX.fx_teams(spark, SF), FX.fx_fixtures(spark, SF))
     p = _plan(ft)
