@@ -51,11 +51,16 @@ def reuse(df: DataFrame) -> DataFrame:
 def with_scalars(df: DataFrame, one: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Attach the columns of a one-row frame (a global aggregate, a state row)
     to every row of ``df`` as scalar subqueries: each value is computed once and
-    inlined into the projection, so there is no join and no pairs table. Spark
-    merges scalar subqueries over the same aggregate (``MergeScalarSubqueries``),
-    so several columns cost one evaluation; more than one row is an error
-    instead of a silent multiplication of ``df``."""
-    return df.withColumns({c: one.select(c).scalar() for c in (cols or one.columns)})
+    inlined into the projection, so there is no join and no pairs table.
+    Several columns come from one struct-valued subquery held in one column and
+    read by a second projection (the optimizer does not inline a subquery that
+    is referenced more than once), so the one-row frame is evaluated once; more
+    than one row is an error instead of a silent multiplication of ``df``."""
+    cols = list(cols or one.columns)
+    if len(cols) == 1:
+        return df.withColumn(cols[0], one.select(cols[0]).scalar())
+    out = df.withColumn("_scalars", one.select(F.struct(*cols)).scalar())
+    return out.withColumns({c: F.col("_scalars").getField(c) for c in cols}).drop("_scalars")
 
 
 def spread(df: DataFrame) -> DataFrame:
