@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turfline.llm.store import global_rank, stored
+from turfline.llm.store import global_rank, map_arrow, stored
 from turfline.llm.words import ragged_range, text_slices
 
 #: Distinct words whose ids a Python worker remembers; it starts anew beyond.
@@ -90,7 +90,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1,
                         out.append((key, s, len(piece), zlib.crc32(piece.tobytes()), n + 1))
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*out)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), cut, PIECES)
 
 
 def pack_histogram(counts: dict[int, int], most: int = 2048) -> list[tuple[int, int, int, int, int]]:
@@ -168,7 +168,7 @@ def pack_pieces(pieces: DataFrame, most: int = 2048) -> DataFrame:
                     [*columns, pa.array(sequence[i] + (rank - first[i])), pa.array(offset[i])], names=names)
 
     pieces_columns = list(pieces.columns)
-    return ranked.select(*pieces_columns, "_rank").mapInArrow(place, schema)
+    return map_arrow(ranked.select(*pieces_columns, "_rank"), place, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, most: int = 2048) -> DataFrame:

@@ -7,11 +7,12 @@ back, so a lost executor costs at most the stage that is running.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from turfline.session import ensure_checkpoint_dir
+from turfline.session import ensure_checkpoint_dir, ship_package
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -19,6 +20,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
 
 
+def map_arrow(df: DataFrame, step: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` with this package shipped to the Python workers first."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(step, schema)
+
+
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` written to the shared folder and read back (each caller gets its own path)."""
     spark = df.sparkSession
