@@ -147,3 +147,24 @@ def mix_sized(sized: DataFrame, weights=cycled_weights, seed: int = 17) -> DataF
     taken = F.expr(f"_passes * size + {chosen_before('_end')} - {chosen_before('_end - size')}").cast("long")
     return placed.withColumn("taken", taken).drop(
         "_shard", "_parts", "_quota", "_end", "_of", "_at", "_blocks", "_take", "_passes", "_rest", "_cells", "_off")
+
+
+def mixed_rows(docs: DataFrame, weights=cycled_weights, seed: int = 17) -> DataFrame:
+    """``docs`` as the mix takes them: so many whole copies of each row, and a last one that holds the
+    first words of the text when the mix takes a part. A row of which nothing is taken goes; rows
+    equal in doc_id and text share what they take together. ``n_chars`` follows the text."""
+    rows = docs.withColumns({"_row": F.xxhash64(F.col("doc_id").cast("long"), "text"), "_text": F.xxhash64(F.lit(5), "text")})
+    sized = rows.select(
+        F.col("doc_id").cast("long").alias("doc_id"), "source", "_row", "_text",
+        F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"))
+    taken = mix_sized(stored(sized, "sizes"), weights, seed)
+    taken = taken.groupBy("_row", "_text", F.col("source").alias("_source")).agg(
+        F.max("size").alias("_size"), F.expr("sum(taken) div count(1)").alias("_taken")).where("_taken > 0")
+    out = rows.join(taken, (rows["_row"] == taken["_row"]) & (rows["_text"] == taken["_text"]) & rows["source"].eqNullSafe(taken["_source"]))
+    out = out.withColumn("_copy", F.explode(F.expr("sequence(1L, (_taken + _size - 1) div _size)")))
+    words = F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+")
+    part = F.array_join(F.slice(words, F.lit(1), F.expr("cast(_taken % _size as int)")), " ")
+    out = out.withColumn("text", F.when(F.expr("_copy * _size > _taken"), part).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -227,3 +228,16 @@ def score_documents(docs: DataFrame, labels: DataFrame, label: str = "quality",
     scored = stats.mapInArrow(score, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
                          (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose score reaches the threshold, all columns. Scored as ``score_documents`` does."""
+    ids = labels.select(F.col("doc_id").alias("_id")).distinct()
+    marked = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_id"), "left_semi")
+    model = train(with_statistics(marked), labels, label)
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.score(statistics(pa.array(texts, pa.string(), from_pandas=True))), dtype=float)
+
+    return docs.where(score(F.col("text")) >= threshold)
