@@ -141,7 +141,7 @@ def top_products(df: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id"
             if parts:
                 yield block(number, parts)
 
-        ranked = global_rank(source, [F.col("n").desc(), F.col("id"), F.xxhash64("v")])
+        ranked = global_rank(source, [-F.col("n"), F.col("id"), F.xxhash64("v")])
         ranked = ranked.repartitionByRange("_rank").sortWithinPartitions("_rank")
         return stored(map_arrow(ranked.select("id", "v", "_rank"), pack, "block long, ids binary, data binary"), "blocks")
 
