@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turfline.llm import fingerprints, hilbert, mixing, neardup, packing, quality, substrings, topk
+from turfline.llm import fingerprints, hilbert, licenses, mixing, neardup, packing, pages, quality, substrings, topk
 from turfline.sources.tables import read_table as read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract_pages(read(spark, sf_dir, "pages"))
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -33,6 +37,10 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read(spark, sf_dir, "documents"))
+
+
 def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.document_shards(read(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -47,8 +55,8 @@ def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_fingerprints, op2_top_products, op3_quality, op5_near_duplicates, op6_mix_sources, op8_hilbert_shards,
-    op9_substrings, op10_pack_sequences,
+    op1_fingerprints, op2_top_products, op3_quality, op4_main_text, op5_near_duplicates, op6_mix_sources,
+    op7_licenses, op8_hilbert_shards, op9_substrings, op10_pack_sequences,
 )}
 
 ORACLES: dict[str, str] = {
