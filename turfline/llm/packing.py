@@ -16,7 +16,7 @@ from turfline.llm.store import global_rank, map_arrow, stored
 from turfline.llm.words import ragged_range, text_slices
 
 #: Distinct words whose ids a Python worker remembers; it starts anew beyond.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 #: Bytes of text that are encoded at once.
 SLICE = 1 << 21
 

@@ -13,12 +13,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turfline.llm.store import stored
+from turfline.llm.store import map_arrow, stored
 from turfline.llm.words import find_words, ragged_range, span_hashes, text_slices
 
 #: Share of the pooled covariance in each class's, and of the identity after that.
@@ -118,7 +117,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(stats.ravel()))], names=["doc_id", "stats"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(measure, "doc_id long, stats array<double>")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), measure, "doc_id long, stats array<double>")
 
 
 @dataclass
@@ -232,12 +231,12 @@ def score_documents(docs: DataFrame, labels: DataFrame, label: str = "quality",
 
 def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose score reaches the threshold, all columns. Scored as ``score_documents`` does."""
-    ids = labels.select(F.col("doc_id").alias("_id")).distinct()
-    marked = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_id"), "left_semi")
-    model = train(with_statistics(marked), labels, label)
+    model = train(with_statistics(docs), labels, label)
+    at = docs.columns.index("text")
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(statistics(pa.array(texts, pa.string(), from_pandas=True))), dtype=float)
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(model.score(statistics(batch.column(at))) >= threshold))
 
-    return docs.where(score(F.col("text")) >= threshold)
+    return map_arrow(docs, choose, docs.schema)
