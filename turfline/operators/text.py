@@ -320,7 +320,8 @@ def _match_automaton(queries: DataFrame, dic: DataFrame, query_col: str, id_col:
                             seen.add(n)
                             out_ids.append(qid)
                             out_names.append(n)
-            yield pd.DataFrame({id_col: out_ids, "_name": out_names})
+            if out_ids:
+                yield pd.DataFrame({id_col: out_ids, "_name": out_names})
 
     return spread(queries.select(id_col, query_col)).mapInPandas(run, schema)
 
