@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -15,10 +16,12 @@ from pyspark.sql import functions as F
 from turfline.llm.store import global_rank, map_arrow, stored
 from turfline.llm.words import ragged_range, text_slices
 
-#: Distinct words whose ids a Python worker remembers; it starts anew beyond.
-CACHE_WORDS = 100_000
+#: Distinct words whose ids a Python worker remembers (about 200 bytes each); it starts anew beyond.
+CACHE_WORDS = 400_000
+#: Distinct words that are encoded as one text, with a mark between them.
+JOINED, MARK = 200, "0"
 #: Bytes of text that are encoded at once.
-SLICE = 1 << 21
+SLICE = 1 << 23
 
 
 def default_tokenizer() -> str:
@@ -39,7 +42,27 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}  # word -> its ids as unsigned 32-bit numbers
+        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+
+    def learn(self, words: list[str]) -> None:
+        """Encodes words, many as one text. The mark's id parts them; words that hold the mark, and a
+        text whose parts are not as many as its words, are encoded one by one."""
+        plain = [w for w in words if MARK not in w] if len(self.mark) == 1 else []
+        runs = [plain[i:i + JOINED] for i in range(0, len(plain), JOINED)]
+        texts = [f" {MARK} ".join(run) for run in runs]
+        alone = [w for w in words if MARK in w] if len(self.mark) == 1 else words
+        for run, encoding in zip(runs, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(encoding.ids, dtype=np.uint32)
+            marks = np.flatnonzero(ids == self.mark[0])
+            if len(marks) != len(run) - 1:
+                alone = alone + run
+                continue
+            raw = ids.tobytes()
+            starts, ends = [0, *(4 * (marks + 1)).tolist()], [*(4 * marks).tolist(), len(raw)]
+            self.known.update((w, raw[a:b]) for w, a, b in zip(run, starts, ends))
+        for w, encoding in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
+            self.known[w] = np.array(encoding.ids, dtype=np.uint32).tobytes()
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and how many each has."""
@@ -48,15 +71,13 @@ class WordEncoder:
         if isinstance(words, pa.ChunkedArray):
             words = words.combine_chunks()
         distinct = words.dictionary.to_pylist()
-        if len(self.known) + len(distinct) > CACHE_WORDS:
-            self.known = {}
         new = [w for w in distinct if w not in self.known]
-        if new:
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, dtype=np.uint32)
+        if len(self.known) + len(new) > CACHE_WORDS:
+            self.known, new = {}, distinct
+        self.learn(new)
         each = [self.known[w] for w in distinct]
-        sizes = np.fromiter(map(len, each), dtype=np.int64, count=len(each))
-        pool = np.concatenate(each) if each else np.zeros(0, np.uint32)
+        sizes = np.fromiter(map(len, each), dtype=np.int64, count=len(each)) // 4
+        pool = np.frombuffer(b"".join(each), dtype=np.uint32)
         index = words.indices.to_numpy(zero_copy_only=False)
         counts = sizes[index] if len(index) else np.zeros(0, np.int64)
         ids = pool[ragged_range((np.cumsum(sizes) - sizes)[index], counts)] if len(index) else pool
@@ -75,6 +96,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1,
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores already
         encoder = WordEncoder(path)
         for batch in batches:
             keys = batch.column(0).to_pylist()
