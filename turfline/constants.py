@@ -108,3 +108,7 @@ RF_PARAMS = dict(numTrees=300, maxDepth=8, minInstancesPerNode=3,
 GBT_PARAMS = dict(maxIter=300, maxDepth=4, stepSize=0.05, subsamplingRate=0.8,
                   featureSubsetStrategy="0.8", seed=42)
 CV_FOLDS = 5
+
+# Fixed values of the answers to questions without a match.
+NOT_FOUND_NEWS = "Player not found in database."
+NOT_FOUND_ADVICE = "Try searching by the player's FPL web name (e.g., Salah, Haaland, Saka)."

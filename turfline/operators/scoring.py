@@ -1,7 +1,7 @@
 """Scores, metrics and rankings over scored rows.
 
 Global statistics (min/max, medians, means) are computed as one ungrouped
-aggregate and cross-joined as a broadcast one-row side; rankings use
+aggregate and attached as scalar subqueries; rankings use
 ``row_number`` inside partitions (``WindowGroupLimit`` prunes before the
 shuffle) or range-partitioned numbering, never a window over all rows.
 """
@@ -19,33 +19,45 @@ from turfline.operators.upsert import assign_row_ids
 from turfline.plans.guards import small_side, with_scalars
 
 
-# Exact medians keep every distinct value of a column in one aggregation
-# buffer; above this many distinct values the "auto" mode switches to
-# percentile_approx, whose buffer is bounded.
-EXACT_MEDIAN_MAX_DISTINCT = 5_000_000
+#: Ranges of values in which a column's middle ranks are looked for.
+MEDIAN_RANGES = 64
 
 
-def use_approx(df: DataFrame, cols: Sequence[str], approx: bool | str) -> bool:
-    """Resolve ``approx``: True/False as given; "auto" checks the distinct counts
-    with one HyperLogLog aggregate (bounded memory) against the exact limit."""
-    if approx != "auto":
-        return bool(approx)
-    nd = df.agg(*[F.approx_count_distinct(c).alias(f"_nd{i}") for i, c in enumerate(cols)]).first()
-    return max(nd) > EXACT_MEDIAN_MAX_DISTINCT
+def exact_medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
+    """The interpolated median of each column (None without values), by one rule at every size.
 
+    Approximate quantiles only cut a column into ranges. Values are counted per distinct value,
+    counts are added up per range, and the one or two middle ranks are then found among the
+    distinct values of the ranges that hold them. No task holds all the values of a column; the
+    driver sees the cuts and two values for each column.
+    """
+    wide = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    shares = [k / MEDIAN_RANGES for k in range(1, MEDIAN_RANGES)]
+    cuts = wide.agg(*[F.percentile_approx(f"c{i}", shares, 1000).alias(f"c{i}") for i in range(len(cols))]).first()
 
-def impute_median(df: DataFrame, cols: Sequence[str], approx: bool | str = "auto",
-                  fit_on: DataFrame | None = None) -> DataFrame:
+    def cell(i: int) -> F.Column:
+        v, ends = F.col(f"c{i}"), F.array(*[F.lit(x) for x in sorted(set(cuts[i] or []))]).cast("array<double>")
+        return F.struct(F.lit(i).alias("c"), v.alias("v"), F.size(F.filter(ends, lambda x: x <= v)).alias("r"))
+
+    cells = F.array(*[cell(i) for i in range(len(cols))])
+    counts = wide.select(F.inline(cells)).where(F.col("v").isNotNull()).groupBy("c", "r", "v").agg(F.count(F.lit(1)).alias("n"))
+    ranges = counts.groupBy("c", "r").agg(F.sum("n").alias("n"))  # at most MEDIAN_RANGES rows a column
+    by_col = Window.partitionBy("c")
+    ranges = ranges.select("c", "r", (F.sum("n").over(by_col.orderBy("r")) - F.col("n")).alias("before"), "n", F.sum("n").over(by_col).alias("total"))
+    low, high = F.expr("(total - 1) div 2"), F.expr("total div 2")  # middle ranks from 0
+    middle = ranges.where((F.col("before") <= high) & (low < F.col("before") + F.col("n"))).drop("n")
+    inside = Window.partitionBy("c", "r").orderBy("v")
+    ranked = counts.join(middle, ["c", "r"]).withColumn("upto", F.col("before") + F.sum("n").over(inside))
+    found = ranked.where((F.col("upto") > low) & (F.col("upto") - F.col("n") <= high))
+    values = {r["c"]: (r["a"] + r["b"]) / 2 for r in found.groupBy("c").agg(F.min("v").alias("a"), F.max("v").alias("b")).collect()}
+    return {c: values.get(i) for i, c in enumerate(cols)}
+
+
+def impute_median(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None = None) -> DataFrame:
     """NULL -> column median of ``fit_on`` (default: the full frame), interpolated
-    like numpy; ``approx`` (or "auto" above the distinct limit) switches to
-    ``percentile_approx`` (bounded memory at scale)."""
-    src = fit_on if fit_on is not None else df
-    approx = use_approx(src, cols, approx)
-    med = (lambda c: F.percentile_approx(c, 0.5, 10000)) if approx else F.median
-    stats = src.agg(*[med(F.col(c).cast("double")).alias(f"_med_{c}") for c in cols])
-    out = with_scalars(df, stats)
-    out = out.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_med_{c}")) for c in cols})
-    return out.drop(*[f"_med_{c}" for c in cols])
+    like numpy; a column without values stays NULL."""
+    medians = exact_medians(fit_on if fit_on is not None else df, cols)
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(medians[c]).cast("double")) for c in cols})
 
 
 def normalize_minmax(df: DataFrame, cols: Sequence[str], suffix: str = "_norm") -> DataFrame:
@@ -79,13 +91,12 @@ def residuals(df: DataFrame, actual: str = "actual", pred: str = "pred") -> Data
 
 
 def confusion_matrix(df: DataFrame, actual: str = "actual", pred: str = "pred",
-                     threshold: DataFrame | None = None, approx: bool | str = "auto") -> DataFrame:
-    """High/low classes at the median of ``actual`` (or a given one-row threshold);
-    ``approx`` uses ``percentile_approx`` (bounded memory at scale)."""
-    med = (F.percentile_approx(actual, 0.5, 10000) if threshold is None and use_approx(df, [actual], approx)
-           else F.median(actual))
-    thr = threshold if threshold is not None else df.agg(med.alias("threshold"))
-    j = with_scalars(df, thr.select("threshold"))
+                     threshold: DataFrame | None = None) -> DataFrame:
+    """High/low classes at the median of ``actual`` (or a given one-row threshold)."""
+    if threshold is None:
+        j = df.withColumn("threshold", F.lit(exact_medians(df, [actual])[actual]).cast("double"))
+    else:
+        j = with_scalars(df, threshold.select("threshold"))
     a = (F.col(actual) > F.col("threshold"))
     p = (F.col(pred) > F.col("threshold"))
     s = lambda cond: F.sum(F.when(cond, 1).otherwise(0)).cast("long")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -84,67 +85,38 @@ def chunk_fixed(df: DataFrame, text_col: str, size: int = K.CHUNK_SIZE,
     return out.withColumn("chunk", F.expr(f"substring({text_col}, _k * {step} + 1, {size})")).drop("_k")
 
 
-def _split_keep(text: str, sep: str) -> list[str]:
-    """Split on ``sep`` keeping the separator at the start of the following piece."""
-    if sep == "":
-        return [ch for ch in text]
-    parts = re.split(f"({re.escape(sep)})", text)
-    out = [parts[0]] + [parts[i] + parts[i + 1] for i in range(1, len(parts) - 1, 2)]
-    return [s for s in out if s != ""]
-
-
-def _merge(pieces: list[str], size: int, overlap: int) -> list[str]:
-    """Greedy merge of pieces into windows of at most ``size`` characters,
-    carrying up to ``overlap`` trailing characters into the next window."""
-    chunks: list[str] = []
-    window: list[str] = []
-    total = 0
-    for piece in pieces:
-        n = len(piece)
-        if total + n > size and window:
-            joined = "".join(window).strip()
-            if joined:
-                chunks.append(joined)
-            while total > overlap or (total + n > size and total > 0):
-                total -= len(window[0])
-                window = window[1:]
-        window.append(piece)
-        total += n
-    joined = "".join(window).strip()
-    if joined:
-        chunks.append(joined)
-    return chunks
-
-
-def split_recursive(text: str, size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP,
-                    separators: Sequence[str] = ("\n\n", "\n", " ", "")) -> list[str]:
-    """Recursive character splitting: prefer breaks at blank lines, then lines,
-    then spaces, then characters; windows of <= size with <= overlap carried."""
-    sep = separators[-1]
-    rest: Sequence[str] = ()
-    for i, s in enumerate(separators):
-        if s == "":
-            sep = s
-            break
-        if s in text:
-            sep, rest = s, separators[i + 1:]
-            break
-    out: list[str] = []
-    small: list[str] = []
-    for piece in _split_keep(text, sep):
-        if len(piece) < size:
-            small.append(piece)
-            continue
-        if small:
-            out.extend(_merge(small, size, overlap))
-            small = []
-        if rest:
-            out.extend(split_recursive(piece, size, overlap, rest))
-        else:
-            out.append(piece)
-    if small:
-        out.extend(_merge(small, size, overlap))
-    return out
+def chunk_offsets(text: str, size: int, overlap: int,
+                  separators: Sequence[str] = ("\n\n", "\n", " ")) -> list[tuple[int, int]]:
+    """(start, end) of chunks of at most ``size`` characters, in one forward sweep.
+
+    A chunk ends at the last break of its window, before a separator of the strongest kind found
+    there, or at ``size`` characters if there is none. The next chunk starts at the first space
+    or line break of the last ``overlap`` characters; where the text was cut inside a word it
+    repeats all of them, and without a space nothing. Trailing white space is left out."""
+    if not 0 <= overlap < size:
+        raise ValueError("overlap must be at least 0 and less than size")
+    n, start, spans = len(text.rstrip()), 0, []
+    while n - start > size:
+        end = -1
+        for sep in separators:
+            end = text.rfind(sep, start + overlap + 1, start + size + len(sep))
+            if end >= 0:
+                break
+        cut = end < 0
+        if cut:
+            end = start + size
+        spans.append((start, end))
+        carried = [] if cut else [at for at in (text.find(c, end - overlap, end) for c in ("\n", " ")) if at >= 0]
+        start = end - overlap if cut else min(carried, default=end)
+    if start < n:
+        spans.append((start, n))
+    return spans
+
+
+def split_recursive(text: str, size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP) -> list[str]:
+    """The trimmed, non-empty chunks at ``chunk_offsets``."""
+    chunks = (text[lo:hi].strip() for lo, hi in chunk_offsets(text, size, overlap))
+    return [c for c in chunks if c]
 
 
 def chunk_recursive(df: DataFrame, key_cols: Sequence[str], text_col: str,
@@ -185,30 +157,31 @@ def strip_html_regex(c: str | Column) -> Column:
     return F.regexp_replace(x, r"^\s+|\s+$", "")
 
 
-def _strip_one(html: str | None, drop_script: bool) -> str | None:
-    from html.parser import HTMLParser
+class _Text(HTMLParser):
+    """Collects the text nodes, without those of scripts and styles if asked."""
+
+    def __init__(self, drop_script: bool):
+        super().__init__(convert_charrefs=True)
+        self.parts: list[str] = []
+        self._drop = ("script", "style") if drop_script else ()
+        self._skip = 0
 
-    class _Text(HTMLParser):
-        def __init__(self):
-            super().__init__(convert_charrefs=True)
-            self.parts: list[str] = []
-            self._skip = 0
+    def handle_starttag(self, tag, attrs):
+        self._skip += tag in self._drop
 
-        def handle_starttag(self, tag, attrs):
-            if drop_script and tag in ("script", "style"):
-                self._skip += 1
+    def handle_endtag(self, tag):
+        if tag in self._drop and self._skip:
+            self._skip -= 1
 
-        def handle_endtag(self, tag):
-            if drop_script and tag in ("script", "style") and self._skip:
-                self._skip -= 1
+    def handle_data(self, data):
+        if not self._skip:
+            self.parts.append(data)
 
-        def handle_data(self, data):
-            if not self._skip:
-                self.parts.append(data)
 
+def _strip_one(html: str | None, drop_script: bool) -> str | None:
     if html is None:
         return None
-    p = _Text()
+    p = _Text(drop_script)
     try:
         p.feed(html)
         p.close()  # flush a trailing text node instead of losing it

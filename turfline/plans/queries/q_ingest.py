@@ -50,7 +50,7 @@ SELECT id, web_name, team_id, position, CASE WHEN id % 13 = 0 THEN NULL ELSE tot
 FROM fx_players""", fx=["fx_players"], rounded=["selected_by_pct", "form", "ict_index"])
 def q_ingest_json_snapshot(spark, sf):
     path = RAW.write_snapshot(spark, sf)
-    _teams, players = IN.ingest_snapshot(IN.read_documents(spark, path))
+    _teams, players, _bad = IN.ingest_snapshot(IN.read_documents(spark, path))
     return players.select("id", "web_name", "team_id", "position", "total_points", "now_cost", "selected_by_pct",
                           "minutes", "goals_scored", "assists", "clean_sheets", "bonus", "form", "ict_index",
                           "chance_of_playing_next_round", "news")
@@ -61,7 +61,7 @@ SELECT id, name, short_name, CASE WHEN id % 7 = 0 THEN NULL ELSE strength END AS
           fx=["fx_teams"])
 def q_ingest_json_snapshot_teams(spark, sf):
     path = RAW.write_snapshot(spark, sf)
-    teams, _players = IN.ingest_snapshot(IN.read_documents(spark, path))
+    teams, _players, _bad = IN.ingest_snapshot(IN.read_documents(spark, path))
     return teams
 
 
@@ -71,7 +71,7 @@ SELECT id, gameweek, strftime(kickoff_time, '%Y-%m-%d %H:%M:%S') AS kickoff_time
 FROM fx_fixtures""", fx=["fx_fixtures"])
 def q_ingest_fixtures(spark, sf):
     path = RAW.write_fixture_payloads(spark, sf)
-    f = IN.ingest_fixtures(IN.read_documents(spark, path))
+    f, _bad = IN.ingest_fixtures(IN.read_documents(spark, path))
     return f.select("id", "gameweek", F.date_format("kickoff_time", "yyyy-MM-dd HH:mm:ss").alias("kickoff_time"),
                     "team_h", "team_a", "team_h_score", "team_a_score", "finished")
 

@@ -69,8 +69,8 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; set a local one only if unset.
-    Also ships this package to the Python workers."""
+    """Use the cluster's ``spark.checkpoint.dir``; set a local one only if unset, and only where
+    driver and executors are one machine. Also ships this package to the Python workers."""
     ship_package(spark)
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -78,6 +78,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="turfline-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)

@@ -58,11 +58,11 @@ def ingest_history(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out, bad
 
 
-def ingest_snapshot(docs: DataFrame, fetched_at: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Snapshot documents -> (teams, players), renamed and leniently cast.
+def ingest_snapshot(docs: DataFrame, fetched_at: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Snapshot documents -> (teams, players, rejects), renamed and leniently cast.
     ``selected_by_pct`` falls back to the alternate key only when the first is
     absent; a missing note becomes ''."""
-    good, _bad = parse_with_rejects(docs, SNAPSHOT_SCHEMA, "elements")
+    good, bad = parse_with_rejects(docs, SNAPSHOT_SCHEMA, "elements")
     teams = good.select(F.inline("doc.teams")).select(
         lenient_cast("id", "bigint").alias("id"), "name", "short_name",
         lenient_cast("strength", "bigint").alias("strength"))
@@ -85,19 +85,24 @@ def ingest_snapshot(docs: DataFrame, fetched_at: str | None = None) -> tuple[Dat
     if fetched_at is not None:
         teams = teams.withColumn("fetched_at", F.lit(fetched_at))
         players = players.withColumn("fetched_at", F.lit(fetched_at))
-    return teams, players
-
-
-def ingest_fixtures(docs: DataFrame) -> DataFrame:
-    """Fixture objects -> rows; ``event`` -> gameweek; finished -> 0/1 with null as 0."""
-    arr = docs.select(F.from_json("value", FIXTURE_SCHEMA).alias("a")).where(F.col("a").isNotNull())
-    f = arr.select(F.inline("a"))
-    return f.select(
+    return teams, players, bad
+
+
+def ingest_fixtures(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Fixture documents -> (rows, rejects); ``event`` -> gameweek; finished -> 0/1 with null as 0.
+    A document is rejected when it does not parse, or none of its objects has an id."""
+    parsed = docs.select("value", F.from_json("value", FIXTURE_SCHEMA).alias("a"))
+    ok = F.col("a").isNotNull() & ((F.size("a") == 0) | F.exists("a", lambda x: x["id"].isNotNull()))
+    ok = F.coalesce(ok, F.lit(False))
+    bad = parsed.where(~ok).select(F.col("value").alias("raw"))
+    f = parsed.where(ok).select(F.inline("a"))
+    rows = f.select(
         lenient_cast("id", "bigint").alias("id"), lenient_cast("event", "bigint").alias("gameweek"),
         F.to_timestamp("kickoff_time").alias("kickoff_time"),
         *[lenient_cast(c, "bigint").alias(c) for c in ["team_h", "team_a", "team_h_score", "team_a_score"]],
         F.coalesce(F.col("finished"), F.lit(False)).cast("int").alias("finished"),
         *[lenient_cast(c, "bigint").alias(c) for c in ["team_h_difficulty", "team_a_difficulty"]])
+    return rows, bad
 
 
 RSS_SCHEMA = ("channel struct<item: array<struct<title: string, link: string, guid: string, "
