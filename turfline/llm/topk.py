@@ -170,9 +170,10 @@ def top_products(df: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id"
                 yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(3)], names=["query_id", "vec_id", "score"])
 
     # a row of either side is a block of thousands of vectors
-    numbers = candidates.select("block").distinct()
-    jobs = asked.select("q").distinct().withColumn("_one", F.lit(1)).join(numbers.withColumn("_one", F.lit(1)), "_one").select("q", "block")
-    work = jobs.join(candidates, "block").join(asked, "q").select("q_ids", "q_data", "bound", "ids", "data")
+    numbers = candidates.agg(F.max("block")).first()[0]
+    # each block of queries goes to each block of candidates, dealt by the latter: those are many
+    sent = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(numbers).cast("long"))))
+    work = sent.join(candidates.hint("merge"), "block").select("q_ids", "q_data", "bound", "ids", "data")
     found = stored(map_arrow(work, compare, "query_id long, vec_id long, score long"), "found")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
