@@ -35,7 +35,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token ids and their places in sequences of 2048."""
+    """Pieces of token ids, with the ids, and their places in sequences of 2048."""
     return packing.pack_documents(docs)
 
 

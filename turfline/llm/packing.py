@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import bisect
 import os
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -86,31 +85,45 @@ class WordEncoder:
         return ids, np.diff(before[ends])
 
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
+#: Pieces in an Arrow batch at most.
+PIECE_ROWS = 4_096
 
 
 def token_pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, most: int = 2048) -> DataFrame:
     """Pieces of at most ``most`` ids of every text (null: empty), each text followed by ``end_id``:
-    doc_id, start, length, ids_crc32 (of the little-endian unsigned 32-bit ids), doc_tokens."""
+    doc_id, start, length, doc_tokens, ids (little-endian unsigned 32-bit numbers)."""
     path = tokenizer or default_tokenizer()
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores already
         encoder = WordEncoder(path)
         for batch in batches:
-            keys = batch.column(0).to_pylist()
             texts = batch.column(1).fill_null("")
             for first, rows, _, _ in text_slices(texts, SLICE):
                 ids, counts = encoder.ids(texts.slice(first, rows))
-                out, at = [], 0
-                for key, n in zip(keys[first:first + rows], counts.tolist()):
-                    one = np.append(ids[at:at + n], np.uint32(end_id)).astype("<u4")
-                    at += n
-                    for s in range(0, n + 1, most):
-                        piece = one[s:s + most]
-                        out.append((key, s, len(piece), zlib.crc32(piece.tobytes()), n + 1))
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*out)], schema=schema)
+                totals = counts + 1
+                ends = np.cumsum(totals)
+                flat = np.full(int(ends[-1]), end_id, dtype="<u4")
+                inner = np.ones(len(flat), dtype=bool)
+                inner[ends - 1] = False
+                flat[inner] = ids
+                pieces = -(-totals // most)
+                owner = np.repeat(np.arange(rows), pieces)
+                starts = most * ragged_range(np.zeros(rows, np.int64), pieces)
+                lengths = np.minimum(totals[owner] - starts, most)
+                borders = np.concatenate([[0], np.cumsum(lengths)])
+                keys = batch.column(0).take(pa.array(first + owner))
+                for at in range(0, len(owner), PIECE_ROWS):
+                    some = slice(at, at + PIECE_ROWS)
+                    n = len(owner[some])
+                    offsets = borders[at:at + n + 1]
+                    raw = flat[offsets[0]:offsets[-1]]
+                    offsets = (4 * (offsets - offsets[0])).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [keys.slice(at, n), pa.array(starts[some]), pa.array(lengths[some]), pa.array(totals[owner[some]]),
+                         pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(raw)])],
+                        names=["doc_id", "start", "length", "doc_tokens", "ids"])
 
     return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), cut, PIECES)
 
@@ -163,8 +176,9 @@ def pack_pieces(pieces: DataFrame, most: int = 2048) -> DataFrame:
 
     Patterns are found on the driver from the histogram of lengths (``most`` counts at most).
     Pieces of one length are numbered over the cluster and find their placement by that number,
-    so no length, however frequent, is gathered in one task.
+    so no length, however frequent, is gathered in one task. The pieces are stored once.
     """
+    pieces = stored(pieces.withColumn("_piece", F.monotonically_increasing_id()), "pieces", compression="zstd")
     counts = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     placed = pack_histogram(counts, most)
     before, at = {}, 0
@@ -175,29 +189,31 @@ def pack_pieces(pieces: DataFrame, most: int = 2048) -> DataFrame:
     first = np.array([before[p[0]] + p[1] for p in placed], dtype=np.int64)
     sequence = np.array([p[3] for p in placed], dtype=np.int64)
     offset = np.array([p[4] for p in placed], dtype=np.int64)
-    ties = [F.xxhash64(*[c for c in pieces.columns if c != "length"])] + [F.col(c) for c in ("doc_id", "start") if c in pieces.columns]
-    ranked = global_rank(pieces, [F.col("length"), *ties])
-    names = [*pieces.columns, "sequence_id", "offset"]
-    schema = ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes) + ", sequence_id long, offset long"
+    given = [c for c in pieces.columns if c != "_piece"]
+    ties = [F.xxhash64(*[c for c in given if c != "length"])] + [F.col(c) for c in ("doc_id", "start") if c in given]
+    keys = {f"_t{i}": t for i, t in enumerate(ties)}
+    # only lengths and keys are sorted; the rest of a piece moves once, to its place
+    ranked = global_rank(pieces.select("_piece", "length", *[t.alias(k) for k, t in keys.items()]), [F.col("length"), *map(F.col, keys)])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                rank = batch.column("_rank").to_numpy(zero_copy_only=False)
+                rank = batch.column(1).to_numpy(zero_copy_only=False)
                 i = np.searchsorted(first, rank, side="right") - 1
-                columns = [batch.column(c) for c in pieces_columns]
                 yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(sequence[i] + (rank - first[i])), pa.array(offset[i])], names=names)
+                    [batch.column(0), pa.array(sequence[i] + (rank - first[i])), pa.array(offset[i])], names=["_piece", "sequence_id", "offset"])
 
-    pieces_columns = list(pieces.columns)
-    return map_arrow(ranked.select(*pieces_columns, "_rank"), place, schema)
+    places = map_arrow(ranked.select("_piece", "_rank"), place, "_piece long, sequence_id long, offset long")
+    return pieces.join(places, "_piece").select(*given, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, most: int = 2048) -> DataFrame:
     """Every document's ids, cut only where it is longer than ``most``, packed into sequences.
 
-    One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
-    A null or empty text is the end id alone. Equal rows are separate pieces; a null doc_id is
-    kept as null. An empty frame gives an empty frame.
+    One row for each piece: doc_id, start, length, ids_crc32 (of ``ids``), doc_tokens, sequence_id,
+    offset, ids; the ids of a sequence are those of its pieces in the order of their offsets. A null
+    or empty text is the end id alone. Equal rows are separate pieces; a null doc_id is kept as
+    null. An empty frame gives an empty frame.
     """
-    return pack_pieces(stored(token_pieces(docs, tokenizer, end_id, most), "pieces"), most)
+    packed = pack_pieces(token_pieces(docs, tokenizer, end_id, most), most)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "ids")

@@ -34,11 +34,11 @@ def map_arrow(df: DataFrame, step: Callable, schema: str | StructType) -> DataFr
     return df.mapInArrow(step, schema)
 
 
-def stored(df: DataFrame, name: str = "table") -> DataFrame:
+def stored(df: DataFrame, name: str = "table", compression: str | None = None) -> DataFrame:
     """``df`` written to the shared folder and read back (each caller gets its own path)."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
