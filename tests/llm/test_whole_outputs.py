@@ -1,11 +1,12 @@
 """Outputs that must hold the whole job, on small tables with nulls, empty and long texts and repeats."""
 
+import re
 from collections import defaultdict
 
 import numpy as np
 
 import corpus_pipeline
-from turfline.llm import packing
+from turfline.llm import mixing, packing
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -33,3 +34,23 @@ def test_packed_sequences_hold_the_ids_of_the_texts(spark):
         parts = got[key, len(ids)]
         assert parts == [ids] * rows.count((key, text, "a")) if len(ids) <= 2048 else sum(parts, []) == ids
     assert len(got) == 5 and max(map(len, sequences.values())) <= 2048
+
+
+def test_mix_takes_the_words_of_the_chosen_blocks(spark):
+    """A long text taken at half its size: its words come from all over the text, line feeds and
+    repeated rows included, just as many as ``taken`` says."""
+    long = "\n".join(" ".join(f"w{10 * i + j}" for j in range(10)) for i in range(2000)) + "\n"
+    rows = [(1, long, "a"), (2, " ".join(f"b{i}" for i in range(40000)), "b"), (2, " ".join(f"b{i}" for i in range(40000)), "b"), (None, "no id", "b"), (4, None, "a"), (5, " ", "a")]
+    docs = frame(spark, rows)
+    weights = {"a": 1.0, "b": 9.0}
+    mixed = mixing.mixed_rows(docs, lambda sources: weights).collect()
+    sized = mixing.mix_documents(docs, lambda sources: weights).collect()
+    assert sum(len((r.text or "").split()) for r in mixed) == sum(r.taken for r in sized)
+    part = [r for r in mixed if r.doc_id == 1]
+    (taken,) = [r.taken for r in sized if r.doc_id == 1]
+    assert len(part) == 1 and 0 < taken < 20000 and part[0].n_chars == len(part[0].text)
+    places = [int(w[1:]) for w in part[0].text.split()]
+    assert places == sorted(set(places)) and len(places) == taken
+    gaps = [b - a for a, b in zip(places, places[1:])]
+    assert places[-1] > 15000 and max(gaps) < 10000 and len([g for g in gaps if g > 1]) > 5
+    assert all((sep == "\n") == (int(w[1:]) % 10 == 9) for w, sep in re.findall(r"(w\d+)(\s)", part[0].text))

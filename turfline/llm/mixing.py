@@ -11,12 +11,16 @@ seeded line from a seeded offset, so a document's share needs only its own place
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from turfline.llm.store import stored
+from turfline.llm.store import map_arrow, stored
+from turfline.llm.words import find_words, ragged_range
 
 #: A document may be repeated so often.
 MOST_REPEATS = 3
@@ -103,8 +107,18 @@ def mix_documents(docs: DataFrame, weights=cycled_weights, seed: int = 17) -> Da
     return mix_sized(sized, weights, seed).drop("_text")
 
 
+#: What tells where a document lies on its line and which blocks of the line are chosen.
+PLACE = ("_end", "_passes", "_rest", "_cells", "_off")
+
+
 def mix_sized(sized: DataFrame, weights=cycled_weights, seed: int = 17) -> DataFrame:
     """As ``mix_documents`` for rows with doc_id, source and size; other columns are kept."""
+    block, plan, lines = plan_mix(sized, weights, seed)
+    return place_rows(sized, block, plan, lines, seed).drop(*PLACE)
+
+
+def plan_mix(sized: DataFrame, weights=cycled_weights, seed: int = 17) -> tuple[int, DataFrame, DataFrame]:
+    """Words in a block, a row for each source and a row for each line, from doc_id, source and size."""
     spark = sized.sparkSession
     totals = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")).collect()
     totals.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
@@ -118,8 +132,7 @@ def mix_sized(sized: DataFrame, weights=cycled_weights, seed: int = 17) -> DataF
     plan = spark.createDataFrame(
         [(n, s, float(g), q, p) for n, s, g, q, p in zip(names, sizes, goal, quota, parts)],
         "_source string, source_size long, target double, _quota long, _parts int")
-    placed = sized.join(F.broadcast(plan), sized["source"].eqNullSafe(plan["_source"]))  # one row for each source
-    placed = placed.drop("_source").withColumn("_shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("_parts")).cast("int"))
+    placed = _sharded(sized, plan, seed)
 
     def shards_of_source(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("_shard", ignore_index=True)
@@ -129,7 +142,19 @@ def mix_sized(sized: DataFrame, weights=cycled_weights, seed: int = 17) -> DataF
 
     lines = placed.groupBy("source", "_shard").agg(F.sum("size").alias("_line"), F.first("_quota").alias("_quota"))
     lines = stored(lines.groupBy("source").applyInPandas(shards_of_source, "_of string, _at int, _blocks long, _take long"), "quotas")
-    line = Window.partitionBy("source", "_shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", *(["_text"] if "_text" in sized.columns else []))
+    return block, plan, lines
+
+
+def _sharded(sized: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
+    placed = sized.join(F.broadcast(plan), sized["source"].eqNullSafe(plan["_source"]))  # one row for each source
+    return placed.drop("_source").withColumn("_shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("_parts")).cast("int"))
+
+
+def place_rows(sized: DataFrame, block: int, plan: DataFrame, lines: DataFrame, seed: int = 17) -> DataFrame:
+    """Adds source_size, target, taken and the columns ``PLACE`` to the rows of the plan."""
+    placed = _sharded(sized, plan, seed)
+    ties = [c for c in ("_text", "_all") if c in sized.columns]
+    line = Window.partitionBy("source", "_shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", *ties)
     placed = placed.withColumn("_end", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)))
     placed = placed.join(lines, placed["source"].eqNullSafe(lines["_of"]) & (placed["_shard"] == lines["_at"]))
     cells = F.greatest("_blocks", F.lit(1))
@@ -145,26 +170,56 @@ def mix_sized(sized: DataFrame, weights=cycled_weights, seed: int = 17) -> DataF
         return f"({steps} * {block}L + ((({b} + 1) * _rest + _off) div _cells - {steps}) * (({word}) % {block}L))"
 
     taken = F.expr(f"_passes * size + {chosen_before('_end')} - {chosen_before('_end - size')}").cast("long")
-    return placed.withColumn("taken", taken).drop(
-        "_shard", "_parts", "_quota", "_end", "_of", "_at", "_blocks", "_take", "_passes", "_rest", "_cells", "_off")
+    return placed.withColumn("taken", taken).drop("_shard", "_parts", "_quota", "_of", "_at", "_blocks", "_take")
+
+
+def chosen_words(text: str, begin: int, block: int, rest: int, cells: int, off: int) -> str | None:
+    """The words of the text in the chosen blocks of its line, with the white space after each; none
+    if no block is chosen there. ``begin`` is the place of its first word on the line."""
+    data = np.frombuffer(text.encode(), dtype=np.uint8)
+    starts, _, _ = find_words(data, np.array([0, len(data)]))
+    b = (begin + np.arange(len(starts))) // block
+    keep = ((b + 1) * rest + off) // cells > (b * rest + off) // cells
+    if not keep.any():
+        return None
+    borders = np.append(starts, len(data))
+    borders[0] = 0
+    out = data[ragged_range(borders[:-1][keep], np.diff(borders)[keep])].tobytes().decode()
+    return out if keep[-1] else out.rstrip(" \t\n\x0b\x0c\r")
 
 
 def mixed_rows(docs: DataFrame, weights=cycled_weights, seed: int = 17) -> DataFrame:
-    """``docs`` as the mix takes them: so many whole copies of each row, and a last one that holds the
-    first words of the text when the mix takes a part. A row of which nothing is taken goes; rows
-    equal in doc_id and text share what they take together. ``n_chars`` follows the text."""
-    rows = docs.withColumns({"_row": F.xxhash64(F.col("doc_id").cast("long"), "text"), "_text": F.xxhash64(F.lit(5), "text")})
-    sized = rows.select(
-        F.col("doc_id").cast("long").alias("doc_id"), "source", "_row", "_text",
-        F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"))
-    taken = mix_sized(stored(sized, "sizes"), weights, seed)
-    taken = taken.groupBy("_row", "_text", F.col("source").alias("_source")).agg(
-        F.max("size").alias("_size"), F.expr("sum(taken) div count(1)").alias("_taken")).where("_taken > 0")
-    out = rows.join(taken, (rows["_row"] == taken["_row"]) & (rows["_text"] == taken["_text"]) & rows["source"].eqNullSafe(taken["_source"]))
-    out = out.withColumn("_copy", F.explode(F.expr("sequence(1L, (_taken + _size - 1) div _size)")))
-    words = F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+")
-    part = F.array_join(F.slice(words, F.lit(1), F.expr("cast(_taken % _size as int)")), " ")
-    out = out.withColumn("text", F.when(F.expr("_copy * _size > _taken"), part).otherwise(F.col("text")))
+    """``docs`` as the mix takes them: so many whole copies of each row, and one row that holds the
+    words of the chosen blocks, spaced as in the text, when the mix takes a part. A row of which
+    nothing is taken goes; equal rows have places of their own. ``n_chars`` follows the text."""
+    sized = docs.select(
+        *[F.col(c).alias(f"_doc_{c}") for c in docs.columns],
+        F.col("doc_id").cast("long").alias("doc_id"), "source",
+        F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"),
+        F.xxhash64("text", F.lit(seed)).alias("_text"), F.xxhash64(*docs.columns).alias("_all"))
+    block, plan, lines = plan_mix(stored(sized.select("doc_id", "source", "size"), "sizes"), weights, seed)
+    placed = place_rows(sized, block, plan, lines, seed).where("taken > 0")
+    at, n = docs.columns.index("text"), len(docs.columns)
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(i) for i in range(n)]
+            passes, part = (batch.column(n + i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for copy in range(int(passes.max(initial=0))):
+                rows = pa.array(np.flatnonzero(passes > copy))
+                yield pa.RecordBatch.from_arrays([c.take(rows) for c in columns], names=docs_columns)
+            rows = pa.array(np.flatnonzero(part > 0))
+            if len(rows):
+                some = [c.take(rows) for c in columns]
+                places = zip(*[batch.column(n + i).take(rows).to_pylist() for i in range(2, 6)])
+                some[at] = pa.array([chosen_words(t, p[0], block, *p[1:]) for t, p in zip(some[at].to_pylist(), places)], type=some[at].type)
+                yield pa.RecordBatch.from_arrays(some, names=docs_columns)
+
+    docs_columns = docs.columns
+    narrow = placed.select(
+        *[F.col(f"_doc_{c}") for c in docs_columns], "_passes", F.expr("taken - _passes * size").alias("_part"),
+        (F.col("_end") - F.col("size")).alias("_begin"), "_rest", "_cells", "_off")
+    out = map_arrow(narrow, take, docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
