@@ -6,7 +6,7 @@ from collections import defaultdict
 import numpy as np
 
 import corpus_pipeline
-from turfline.llm import mixing, packing
+from turfline.llm import mixing, neardup, packing
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -54,3 +54,23 @@ def test_mix_takes_the_words_of_the_chosen_blocks(spark):
     gaps = [b - a for a, b in zip(places, places[1:])]
     assert places[-1] > 15000 and max(gaps) < 10000 and len([g for g in gaps if g > 1]) > 5
     assert all((sep == "\n") == (int(w[1:]) % 10 == 9) for w, sep in re.findall(r"(w\d+)(\s)", part[0].text))
+
+
+def test_one_row_of_each_group_stays_and_keeps_its_text(spark):
+    """Repeated rows, copies without an id and an id on two texts."""
+    text = lambda c, n=200: " ".join(f"{c}{i}" for i in range(n))
+    near = text("n").replace("n100 ", "other ")
+    rows = [(7, text("a"), "s"), (7, text("a"), "s"), (7, text("a"), "t"), (None, text("b"), "s"), (None, text("b"), "s"),
+            (9, text("c"), "s"), (None, text("c"), "s"), (5, text("n"), "s"), (5, near, "s"), (5, near, "s"), (None, near, "s"),
+            (8, text("d"), "s"), (None, text("e"), "s"), (None, None, "s"), (None, "", "s"), (3, "", "s"), (3, "", "s")]
+    docs = frame(spark, rows)
+    kept = corpus_pipeline.near_dedup_stage(spark, docs, "")
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert kept.columns == docs.columns
+    empty = sorted(((i, t) for i, t in got if not t), key=str)
+    assert empty == sorted([(None, None), (None, ""), (3, ""), (3, "")], key=str)
+    full = [(i, t) for i, t in got if t]
+    assert sorted((i or 0, t[0]) for i, t in full) == [(0, "b"), (0, "e"), (5, "n"), (7, "a"), (8, "d"), (9, "c")]
+    left = corpus_pipeline.substring_stage(spark, kept, "").collect()
+    assert sorted(r.text for r in left if r.text) == sorted(t for _, t in full)
+    assert neardup.keep_one(docs.limit(0)).count() == 0

@@ -223,7 +223,7 @@ def _components(docs: DataFrame) -> DataFrame:
     first_ids = classed.groupBy("id").agg(F.min("doc_id").alias("_first"))
     rooted = rooted.select("id", "root").join(first_ids, "id")
     least = rooted.groupBy("root").agg(F.min("_first").alias("component_id"))
-    named = rooted.join(least, "root").select("id", "component_id")
+    named = rooted.join(least, "root").select("id", F.col("root").alias("_root"), "component_id")
     out = sets.select("doc_id", "_text", "n_shingles", F.when(F.col("_set").isNotNull(), F.xxhash64("_set")).alias("id")).join(named, "id", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))).drop("id")
@@ -237,7 +237,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     null doc_id is kept, rows that share the smallest doc_id are all kept. An empty frame gives an
     empty frame.
     """
-    return _components(docs).drop("_text")
+    return _components(docs).drop("_text", "_root")
 
 
 def _class_links(classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -275,6 +275,26 @@ def _class_links(classes: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``near_duplicates`` keeps, all columns."""
-    gone = _components(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"), "_text").distinct()
-    return docs.join(gone, (docs["doc_id"].cast("long") == F.col("_gone")) & (F.xxhash64(docs["text"]) == F.col("_text")), "left_anti")
+    """Exactly one row of ``docs`` for each component, all columns; rows without shingles all stay.
+
+    The row with the smallest doc_id stays (nulls last), then that with the smallest hash of its
+    text; of rows equal in both, that with the smallest hash of all columns.
+    """
+    rows = stored(_components(docs).where(F.col("_root").isNotNull()).select("_root", "doc_id", "_text"), "rooted")
+    # rows, then keys, are counted and compared before they are dealt: no task holds the rows of a component
+    keys = rows.groupBy("_root", "doc_id", "_text").agg(F.count(F.lit(1)).alias("_n"))
+    first = rows.groupBy("_root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_last"), "doc_id", "_text")).alias("_f"))
+    first = first.select(F.col("_f.doc_id").alias("_doc"), F.col("_f._text").alias("_hash"))
+    keys = keys.join(first, keys["doc_id"].eqNullSafe(first["_doc"]) & (keys["_text"] == first["_hash"]), "left")
+    keys = stored(keys.where("_hash is null or _n > 1").select(
+        F.col("doc_id").alias("_key"), "_text", F.col("_hash").isNotNull().alias("_stays")), "gone")
+
+    def same(table: DataFrame):
+        return docs["doc_id"].cast("long").eqNullSafe(table["_key"]) & (F.xxhash64(docs["text"]) == table["_text"])
+
+    single = docs.join(keys, same(keys), "left_anti")
+    repeated = keys.where("_stays").drop("_stays")
+    repeated = docs.join(repeated, same(repeated), "left_semi").groupBy(
+        F.col("doc_id").cast("long").alias("_key"), F.xxhash64("text").alias("_text")).agg(
+        F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row"))
+    return single.unionByName(repeated.select("_row.*"))
