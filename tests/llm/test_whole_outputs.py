@@ -6,7 +6,7 @@ from collections import defaultdict
 import numpy as np
 
 import corpus_pipeline
-from turfline.llm import mixing, neardup, packing
+from turfline.llm import mixing, neardup, packing, pages
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -74,3 +74,15 @@ def test_one_row_of_each_group_stays_and_keeps_its_text(spark):
     left = corpus_pipeline.substring_stage(spark, kept, "").collect()
     assert sorted(r.text for r in left if r.text) == sorted(t for _, t in full)
     assert neardup.keep_one(docs.limit(0)).count() == 0
+
+
+def test_copied_pages_and_mixed_hosts_keep_their_main_text(spark, monkeypatch):
+    monkeypatch.setattr(pages, "RANKS", 2)  # runs of copies over the borders of blocks
+    copy, main = "<p>Shared</p><p>Copied text</p>", "<main><p>Main text</p></main>"
+    rows = [(i, f"http://a.org/x/{i}", copy) for i in range(1, 6)] + [(5, "http://a.org/x/5", copy), (9, "http://a.org/x/9", "<p>Shared</p><p>Own</p>")]
+    rows += [(11, "http://b.org/1", main), (12, "http://b.org/2", main), (13, "http://c.org/1", copy), (14, "http://c.org/2", copy)]
+    rows += [(15, "http://d.org/1", "<div>Menu line</div><article><p>Story</p></article>"), (16, "http://d.org/2", "<div>Menu line</div><p>Plain</p>"), (17, None, copy)]
+    got = sorted((r.page_id, r.text) for r in pages.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    both = "Shared\n\nCopied text"
+    assert got == sorted([(i, "Copied text") for i in (1, 2, 3, 4, 5, 5)] + [(9, "Own"), (11, "Main text"), (12, "Main text"), (13, both), (14, both),
+                                                                             (15, "Story"), (16, "Plain"), (17, both)])
