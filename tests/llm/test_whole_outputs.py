@@ -1,12 +1,12 @@
 """Outputs that must hold the whole job, on small tables with nulls, empty and long texts and repeats."""
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 
 import corpus_pipeline
-from turfline.llm import mixing, neardup, packing, pages
+from turfline.llm import hilbert, mixing, neardup, packing, pages
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -86,3 +86,13 @@ def test_copied_pages_and_mixed_hosts_keep_their_main_text(spark, monkeypatch):
     both = "Shared\n\nCopied text"
     assert got == sorted([(i, "Copied text") for i in (1, 2, 3, 4, 5, 5)] + [(9, "Own"), (11, "Main text"), (12, "Main text"), (13, both), (14, both),
                                                                              (15, "Story"), (16, "Plain"), (17, both)])
+
+
+def test_written_shards_hold_every_row_once(spark, tmp_path):
+    rows = [(i, "x" * (i % 50), f"s{i % 4}") for i in range(60)] + [(7, "same", "a")] * 3 + [(None, "no id", "a"), (None, None, None), (7, "other", "b")]
+    docs = frame(spark, rows)
+    hilbert.write_shards(docs, str(tmp_path / "shards"), shards=4)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert Counter(back.select(docs.columns).collect()) == Counter(docs.collect())
+    slots = back.select("shard", "slot").collect()
+    assert len(slots) == len(set(slots)) == len(rows) and {r.shard for r in slots} == {0, 1, 2, 3}

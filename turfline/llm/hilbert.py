@@ -128,8 +128,11 @@ def document_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
     return hilbert_shards(narrow, ["lang", "source", "size"], ["_text", "doc_id"], shards).drop("_text")
 
 
-def write_shards(docs: DataFrame, assigned: DataFrame, path: str) -> None:
-    """Writes the documents below ``path``, one folder for each shard, rows in curve order, so that a
-    reader's min/max statistics prune on each dimension. Joins on doc_id, which must be unique."""
-    placed = docs.join(assigned.select("doc_id", "shard", "slot"), "doc_id")
+def write_shards(docs: DataFrame, path: str, shards: int = 16) -> None:
+    """Writes all rows of ``docs`` below ``path``, one folder for each shard, rows in curve order, so
+    that a reader's min/max statistics prune on each dimension. Whole rows go through the ranking:
+    null and repeated doc_ids are written as they come. Adds shard (the folder) and slot."""
+    data = F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))
+    rows = docs.withColumns({"_size": (F.octet_length(data) + 1).cast("long"), "_text": F.xxhash64("text")})
+    placed = hilbert_shards(rows, ["lang", "source", "_size"], ["_text", "doc_id"], shards).drop("_size", "_text", "curve")
     placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
