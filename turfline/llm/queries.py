@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turfline.llm import fingerprints, hilbert, licenses, mixing, neardup, packing, pages, quality, substrings, topk
+from turfline.llm import fim, fingerprints, hilbert, licenses, mixing, neardup, packing, pages, quality, substrings, topk
 from turfline.sources.tables import read_table as read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,9 +54,14 @@ def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents")).drop("ids")  # their digest stays
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fim.fill_in_middle(read(spark, sf_dir, "documents"))
+    return fim.restore(cut, ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256"], with_text=False)
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_fingerprints, op2_top_products, op3_quality, op4_main_text, op5_near_duplicates, op6_mix_sources,
-    op7_licenses, op8_hilbert_shards, op9_substrings, op10_pack_sequences,
+    op7_licenses, op8_hilbert_shards, op9_substrings, op10_pack_sequences, op12_fill_in_middle,
 )}
 
 ORACLES: dict[str, str] = {
@@ -67,4 +72,19 @@ ORACLES: dict[str, str] = {
               FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op12_fill_in_middle": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS code FROM documents),
+        u AS (SELECT *, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS units,
+                     list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(code, i, 8) AS BIGINT)) AS h FROM d),
+        p AS (SELECT *, CAST(len(units) AS BIGINT) AS n, least(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) AS a,
+                     greatest(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) AS b,
+                     CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain'
+                          WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+        s AS (SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle,
+                     array_to_string(units[b + 1:], '') AS suffix FROM p)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                      ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+               sha256(prefix || middle || suffix) AS restored_sha256 FROM s""",
 }
