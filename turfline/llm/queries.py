@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turfline.llm import fim, fingerprints, hilbert, licenses, mixing, neardup, packing, pages, quality, substrings, topk
+from turfline.llm import fim, fingerprints, hilbert, licenses, mixing, neardup, packing, pages, quality, substrings, topk, warc
+from turfline.llm.store import shared_path
 from turfline.sources.tables import read_table as read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,9 +60,16 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.restore(cut, ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256"], with_text=False)
 
 
+def op13_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "warc")
+    warc.write_archives(read(spark, sf_dir, "pages"), path)
+    return warc.page_report(warc.assemble(warc.read_records(spark, path)))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_fingerprints, op2_top_products, op3_quality, op4_main_text, op5_near_duplicates, op6_mix_sources,
     op7_licenses, op8_hilbert_shards, op9_substrings, op10_pack_sequences, op12_fill_in_middle,
+    op13_warc_captures,
 )}
 
 ORACLES: dict[str, str] = {
@@ -87,4 +95,12 @@ ORACLES: dict[str, str] = {
                sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
                       ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
                sha256(prefix || middle || suffix) AS restored_sha256 FROM s""",
+    "op13_warc_captures": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+        g AS (SELECT *, sha1(body) AS code, max(page_id) OVER (PARTITION BY body) AS first FROM p)
+        SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes,
+               array_to_string(list_transform(range(0, 40, 5), lambda i: array_to_string(list_transform([32768, 1024, 32, 1], lambda d:
+                   substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (CAST('0x' || substr(code, i + 1, 5) AS BIGINT) // d) % 32, 1)), '')), '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to FROM g""",
 }
