@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turfline.llm import fim, fingerprints, hilbert, licenses, mixing, neardup, packing, pages, quality, substrings, topk, warc
+from turfline.llm import conversations, fim, fingerprints, hilbert, licenses, mixing, neardup, packing, pages, quality, substrings, topk, warc
 from turfline.llm.store import shared_path
 from turfline.sources.tables import read_table as read
 
@@ -55,6 +55,12 @@ def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents")).drop("ids")  # their digest stays
 
 
+def op11_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversations.damage(read(spark, sf_dir, "conversations"))
+    return conversations.repair_report(rows, F.col("here")).select(
+        "conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = fim.fill_in_middle(read(spark, sf_dir, "documents"))
     return fim.restore(cut, ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256"], with_text=False)
@@ -68,8 +74,8 @@ def op13_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_fingerprints, op2_top_products, op3_quality, op4_main_text, op5_near_duplicates, op6_mix_sources,
-    op7_licenses, op8_hilbert_shards, op9_substrings, op10_pack_sequences, op12_fill_in_middle,
-    op13_warc_captures,
+    op7_licenses, op8_hilbert_shards, op9_substrings, op10_pack_sequences, op11_repair_conversations,
+    op12_fill_in_middle, op13_warc_captures,
 )}
 
 ORACLES: dict[str, str] = {
