@@ -86,6 +86,65 @@ ORACLES: dict[str, str] = {
               FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op11_repair_conversations": """
+        WITH RECURSIVE given AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: CAST(ord(c) AS BIGINT)) AS key
+            FROM conversations),
+        hashed AS (
+            SELECT *, xor(CAST(4294967295 AS BIGINT), list_reduce(list_prepend(CAST(4294967295 AS BIGINT), key), lambda crc, byte:
+                list_reduce(list_prepend(xor(crc, byte), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda x, bit: xor(x >> 1, CAST(3988292384 AS BIGINT) * (x & 1))))) % 20 AS fault
+            FROM given),
+        damaged AS (
+            SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+                   CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+            FROM (SELECT *, unnest(range(CASE fault WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM hashed)),
+        placed AS (
+            SELECT *, substr(role, 1, 1) AS initial, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS trimmed,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM damaged),
+        rows_ AS (
+            SELECT *, CASE WHEN trimmed = '' THEN 3 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2
+                           WHEN right(trimmed, 1) NOT IN ('.', '!', '?') THEN 1 ELSE 0 END AS kind,
+                   lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM placed),
+        counts AS (
+            SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (kind = 3) AS blank,
+                   count(*) FILTER (kind = 2) AS duplicate, count(*) FILTER (kind = 1) AS truncated,
+                   count(*) FILTER (before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM rows_ GROUP BY conv_id),
+        edits(state, edit, initial, goes, cost, name) AS (VALUES
+            (0, 'K', 's', 1, 0, 's'), (0, 'K', 'u', 2, 0, 'u'), (1, 'K', 'u', 2, 0, 'u'), (3, 'K', 'u', 2, 0, 'u'), (2, 'K', 'a', 3, 0, 'a'),
+            (0, 'R', NULL, 2, 2, 'u'), (1, 'R', NULL, 2, 2, 'u'), (3, 'R', NULL, 2, 2, 'u'), (2, 'R', NULL, 3, 2, 'a'),
+            (0, 'D', NULL, 0, 3, ''), (1, 'D', NULL, 1, 3, ''), (2, 'D', NULL, 2, 3, ''), (3, 'D', NULL, 3, 3, '')),
+        inserts(state, edit, goes, cost, name) AS (VALUES
+            (0, '', 0, 0, ''), (1, '', 1, 0, ''), (2, '', 2, 0, ''), (3, '', 3, 0, ''),
+            (0, 'I', 2, 2, 'u'), (1, 'I', 2, 2, 'u'), (3, 'I', 2, 2, 'u'), (2, 'I', 3, 2, 'a'),
+            (0, 'II', 3, 4, 'ua'), (1, 'II', 3, 4, 'ua'), (2, 'II', 2, 4, 'au'), (3, 'II', 3, 4, 'ua')),
+        cells(conv_id, i, state, best) AS (
+            SELECT c.conv_id, CAST(0 AS BIGINT), goes, struct_pack(cost := CAST(cost AS BIGINT), audit := edit, roles := name)
+            FROM (SELECT DISTINCT conv_id FROM conversations) c, inserts WHERE state = 0
+            UNION ALL
+            SELECT conv_id, i, goes, min(best) FROM (
+                SELECT c.conv_id, r.i, n.goes, struct_pack(
+                           cost := CAST((c.best).cost + e.cost + n.cost + CASE WHEN r.kind = 1 AND e.edit <> 'D' THEN 1 ELSE 0 END AS BIGINT),
+                           audit := (c.best).audit || e.edit || n.edit, roles := (c.best).roles || e.name || n.name) AS best
+                FROM cells c JOIN rows_ r ON c.conv_id IS NOT DISTINCT FROM r.conv_id AND r.i = c.i + 1
+                JOIN edits e ON e.state = c.state AND (e.initial IS NULL OR e.initial = r.initial) AND (e.edit = 'D' OR r.kind < 2)
+                JOIN inserts n ON n.state = e.goes)
+            GROUP BY conv_id, i, goes),
+        best AS (
+            SELECT x.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+                   coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, min(x.best) AS best
+            FROM cells x LEFT JOIN counts c ON x.conv_id IS NOT DISTINCT FROM c.conv_id
+            WHERE x.i = coalesce(n, 0) AND x.state IN (0, 3) GROUP BY ALL),
+        letters AS (
+            SELECT conv_id, (best).roles AS roles, edit, j, sum(CASE WHEN edit <> 'I' THEN 1 ELSE 0 END) OVER w AS i, sum(CASE WHEN edit <> 'D' THEN 1 ELSE 0 END) OVER w AS place
+            FROM (SELECT conv_id, best, unnest(string_split((best).audit, '')) AS edit, unnest(range(length((best).audit))) AS j FROM best WHERE (best).audit <> '')
+            WINDOW w AS (PARTITION BY conv_id ORDER BY j)),
+        repaired AS (
+            SELECT l.conv_id, string_agg(CASE WHEN edit = 'K' THEN r.role WHEN substr(roles, CAST(place AS BIGINT), 1) = 'u' THEN 'user' ELSE 'assistant' END
+                                         || ':' || CASE WHEN edit = 'I' THEN '' ELSE r.text END, chr(10) ORDER BY j) AS body
+            FROM letters l LEFT JOIN rows_ r ON l.conv_id IS NOT DISTINCT FROM r.conv_id AND l.i = r.i WHERE edit <> 'D' GROUP BY l.conv_id)
+        SELECT b.conv_id, gaps, blank, duplicate, truncated, illegal, (best).cost AS cost, (best).audit AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+        FROM best b LEFT JOIN repaired p ON b.conv_id IS NOT DISTINCT FROM p.conv_id""",
     "op12_fill_in_middle": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS code FROM documents),
         u AS (SELECT *, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS units,
