@@ -8,6 +8,8 @@ records of a transaction through their WARC-Concurrent-To identifiers into one n
 
 from __future__ import annotations
 
+import hashlib
+from base64 import b32encode
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,12 +36,12 @@ def base32_sha1(content: Column) -> Column:
 
 
 def with_best(rows: DataFrame, key: str, value: Column, name: str) -> DataFrame:
-    """Adds the greatest ``value`` among the rows of one ``key``.
+    """Adds the greatest ``value``, which tells rows apart, among the rows of one ``key``.
 
     Rows of a key are dealt to ``PARTS`` parts: each part has its greatest, the key the greatest
     of those, which goes back to the parts. No task gets all rows of a frequent key.
     """
-    rows = rows.withColumn("_part", F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(PARTS)))
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64(value), F.lit(PARTS)))
     parts = rows.groupBy(key, "_part").agg(F.max(value).alias(name))
     best = parts.groupBy(key).agg(F.max(name).alias(name))
     return rows.join(parts.select(key, "_part").join(best, key), [key, "_part"]).drop("_part")
@@ -83,8 +85,9 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, date: str = DATE
         F.coalesce("html", F.lit("")).alias("html"), F.monotonically_increasing_id().alias("row"))
     rows = rows.withColumns({"size": F.octet_length("html"), "digest": base32_sha1(F.col("html"))})
     me = F.struct(F.col("page_id"), F.col("url"), F.col("row"))  # nulls sort first
-    # texts too short for revisits are a group of their own
-    rows = rows.withColumn("payload", F.when(F.col("size") >= least, F.sha2("html", 256)).otherwise(F.col("row").cast("string")))
+    # equal payloads have equal SHA-1, size and xxHash64; those too short for revisits are groups of their own
+    same = F.concat_ws(":", F.col("digest"), F.col("size").cast("string"), F.xxhash64("html").cast("string"))
+    rows = rows.withColumn("payload", F.when(F.col("size") >= least, same).otherwise(F.col("row").cast("string")))
     rows = with_best(rows, "payload", me, "first")
 
     def urn(kind: str, page_id: Column, row: Column) -> Column:
@@ -121,7 +124,7 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, date: str = DATE
 
 RECORDS = ("file string, position long, warc_type string, record_id string, target_uri string, date string, "
            "concurrent_to array<string>, refers_to string, content_type string, payload_digest string, "
-           "headers map<string,string>, http map<string,string>, payload binary")
+           "headers map<string,string>, http map<string,string>, payload_bytes long, payload_sha1 string, payload binary")
 #: Named headers, in the order of the columns after ``position``.
 NAMED = ["warc-type", "warc-record-id", "warc-target-uri", "warc-date", "warc-concurrent-to", "warc-refers-to", "content-type",
          "warc-payload-digest"]
@@ -150,7 +153,8 @@ def _as_record(file: str, position: int, head: bytes, block: bytes) -> tuple:
         if gap:
             http, payload = dict(reversed(_fields(top))), rest
     named = [several if n == "warc-concurrent-to" else first.get(n) for n in NAMED]
-    return (file, position, *named, list(first.items()), list(http.items()), payload)
+    sha1 = b32encode(hashlib.sha1(payload).digest()).decode()
+    return (file, position, *named, list(first.items()), list(http.items()), len(payload), sha1, payload)
 
 
 def _length(head: bytes) -> int | None:
@@ -190,7 +194,8 @@ class Cutter:
 
 def read_records(spark: SparkSession, path: str | list[str], whole_files: bool = True) -> DataFrame:
     """All records of the WARC files: file, position (byte of the unpacked file), types, identifiers,
-    headers (of the record and of HTTP) and payload (without the HTTP header).
+    headers (of the record and of HTTP) and payload (without the HTTP header), with its size and the base32
+    of its SHA-1 as read.
 
     Spark's text reader brings the parts of a file in order, so a task holds one record at a
     time. Gzipped files are never split. With ``whole_files`` false (unpacked archives that
@@ -223,7 +228,7 @@ def read_records(spark: SparkSession, path: str | list[str], whole_files: bool =
 
     def table(records: list[tuple]) -> pa.RecordBatch:
         text, pairs = pa.string(), pa.map_(pa.string(), pa.string())
-        types = [text, pa.int64(), *[pa.list_(text) if n == "warc-concurrent-to" else text for n in NAMED], pairs, pairs, pa.binary()]
+        types = [text, pa.int64(), *[pa.list_(text) if n == "warc-concurrent-to" else text for n in NAMED], pairs, pairs, pa.int64(), text, pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*records), types)], names=names)
 
     names = [f.strip().split(" ")[0] for f in RECORDS.replace("map<string,string>", "map").split(",")]
@@ -252,12 +257,13 @@ def capture_of(records: DataFrame) -> DataFrame:
 
 def assemble(records: DataFrame) -> DataFrame:
     """One nested row for each capture: capture, target_uri, date, warc_type (response or revisit),
-    refers_to, payload_digest, response struct(http, payload), request struct(http, payload) (null
-    if none), metadata: for each metadata record its fields (name, value).
+    refers_to, payload_digest (of the header), response struct(http, payload_bytes, payload_sha1, payload),
+    request struct(http, payload) (null if none), metadata: for each metadata record its fields (name, value).
 
     Requests and metadata find their response through concurrent-to identifiers. Records of a
-    transaction without a response or revisit give no row; records with a repeated identifier count once. Only narrow
-    columns are grouped; the payload moves once, to the rest of its capture.
+    transaction without a response or revisit give no row; of records with a repeated identifier the
+    first counts. Only narrow columns are grouped; a payload moves once, to the rest of its
+    capture, and not at all where no one asks for it.
     """
     records = stored(records, "records", compression="zstd")  # cut once, then read by column
     rest = records.where(F.col("warc_type").isin("request", "metadata")).join(capture_of(records), "record_id").dropDuplicates(["record_id"])
@@ -268,23 +274,26 @@ def assemble(records: DataFrame) -> DataFrame:
     rest = rest.groupBy("capture").agg(
         F.min_by(F.when(asked, F.struct("http", "payload")), F.when(asked, F.col("record_id"))).alias("request"),
         F.collect_list(F.when(~asked, fields)).alias("metadata"))
-    head = records.where(F.col("warc_type").isin("response", "revisit")).select(
-        F.col("record_id").alias("capture"), "target_uri", "date", "warc_type", "refers_to", "payload_digest",
-        F.struct("http", "payload").alias("response")).dropDuplicates(["capture"])
+    here = F.struct("file", "position")
+    head = records.where(F.col("warc_type").isin("response", "revisit")).withColumnRenamed("record_id", "capture")
+    firsts = head.groupBy("capture").agg(F.min(here).alias("_first"))
+    head = head.join(firsts, "capture").where(here == F.col("_first")).select(
+        "capture", "target_uri", "date", "warc_type", "refers_to", "payload_digest",
+        F.struct("http", "payload_bytes", "payload_sha1", "payload").alias("response"))
     none = F.array().cast("array<array<struct<name: string, value: string>>>")
     return head.join(rest, "capture", "left").withColumn("metadata", F.coalesce("metadata", none))
 
 
 def page_report(captures: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of assembled captures: size and
-    digest of a response are taken from its payload, those of a revisit from its headers."""
+    digest of a response are those of its payload as read, those of a revisit from its headers."""
     full = F.col("warc_type") == "response"
     rows = captures.select(
         "capture", F.get(F.filter(F.flatten("metadata"), lambda f: f["name"] == "page-id"), F.lit(0))["value"].cast("long").alias("page_id"), F.col("warc_type").alias("record_type"),
         F.when(~full, F.col("refers_to")).alias("refers_to"),
-        F.when(full, F.octet_length(F.col("response.payload")).cast("long"))
+        F.when(full, F.col("response.payload_bytes"))
          .otherwise(F.col("response.http")["content-length"].cast("long")).alias("payload_bytes"),
-        F.when(full, base32_sha1(F.col("response.payload"))).otherwise(F.substring_index("payload_digest", ":", -1)).alias("payload_digest"))
+        F.when(full, F.col("response.payload_sha1")).otherwise(F.substring_index("payload_digest", ":", -1)).alias("payload_digest"))
     rows = stored(rows, "captures")
     table = rows.where("record_type = 'response'").select(F.col("capture").alias("refers_to"), F.col("page_id").alias("of"))
     return looked_up(rows, "refers_to", table).select(
