@@ -57,11 +57,16 @@ def test_upsert_twice_equals_once(spark):
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.collect()))
 
 
-def test_entity_match_paths_agree(spark):
+def test_entity_match_equals_plain_search(spark):
     q, n = FX.fx_queries(spark, SF), FX.fx_names(spark, SF)
     a = sorted(map(tuple, TX.match_entity_longest(q, n).collect()), key=str)
-    b = sorted(map(tuple, TX.match_entity_longest(q, n, max_dictionary=0).collect()), key=str)
-    assert a == b
+    names = [r["web_name"] for r in n.collect()]
+    low = [(x.lower(), x) for x in names]
+    b = []
+    for r in q.collect():
+        hits = [x for w, x in low if w in r["query"].lower()]
+        b.append((r["query_id"], min(hits, key=lambda x: (-len(x), x)) if hits else None))
+    assert a == sorted(b, key=str)
 
 
 def test_knn_paths_agree(spark):
@@ -69,7 +74,7 @@ def test_knn_paths_agree(spark):
     corpus = e.select(F.col("vec_id").alias("doc_id"), "embedding")
     queries = e.select(F.col("vec_id").alias("query_id"), "embedding")
     a = VX.knn_topk(corpus, queries, 5, exclude_self=True).select("query_id", "doc_id", "rank")
-    b = VX.knn_topk(corpus, queries, 5, exclude_self=True, blocks=4).select("query_id", "doc_id", "rank")
+    b = VX.knn_topk(corpus, queries, 5, exclude_self=True, cells=4).select("query_id", "doc_id", "rank")
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
 

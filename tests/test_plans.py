@@ -34,7 +34,7 @@ def test_top_n_per_group_uses_window_group_limit(spark):
 
 
 def test_feature_table_does_not_shuffle_players(spark):
-    ft = FT.feature_table(FX.fx_players(spark, SF), FX.fx_teams(spark, SF), FX.fx_fixtures(spark, SF))
+    ft = FT.engineered_columns(FX.fx_players(spark, SF), FX.fx_teams(spark, SF), FX.fx_fixtures(spark, SF))
     p = ft._jdf.queryExecution().optimizedPlan().toString()
     phys = _plan(ft)
     assert "SortMergeJoin" not in phys
@@ -44,18 +44,37 @@ def test_feature_table_does_not_shuffle_players(spark):
 
 def test_feature_table_has_no_cross_join(spark):
     """Global scalars arrive as scalar subqueries, not as joins of every row."""
-    ft = FT.feature_table(FX.fx_players(spark, SF), FX.fx_teams(spark, SF), FX.fx_fixtures(spark, SF))
+    ft = FT.engineered_columns(FX.fx_players(spark, SF), FX.fx_teams(spark, SF), FX.fx_fixtures(spark, SF))
     phys = _plan(ft)
     assert "CartesianProduct" not in phys and "BroadcastNestedLoopJoin" not in phys
     assert "Subquery" in phys
 
 
 def test_no_row_at_a_time_python_udf_in_feature_table(spark):
-    ft = FT.feature_table(FX.fx_players(spark, SF), FX.fx_teams(spark, SF), FX.fx_fixtures(spark, SF))
+    ft = FT.engineered_columns(FX.fx_players(spark, SF), FX.fx_teams(spark, SF), FX.fx_fixtures(spark, SF))
     p = _plan(ft)
     assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p
 
 
+def test_composite_score_evaluates_the_players_once(spark):
+    """What derives the frame has one scan of the players; means, minima and maxima read the stored frame."""
+    from turfline.plans.queries.q_scoring import enriched
+
+    ft = FT.engineered_columns(FX.fx_players(spark, SF), FX.fx_teams(spark, SF), FX.fx_fixtures(spark, SF))
+    assert ft._jdf.queryExecution().optimizedPlan().toString().count("c_custkey#") and _plan(ft).count("customer.parquet") == 1
+    final = enriched(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "customer.parquet" not in final and "orders.parquet" not in final
+
+
+def test_nothing_stays_cached(spark):
+    from turfline.plans.catalog import load_all
+
+    reg = load_all()
+    for key in ("rank_enriched", "rolling_form", "retrieve_hybrid", "insert_if_absent"):
+        reg[key].query(spark, SF).count()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
+
+
 def test_watermark_filter_reaches_the_scan(spark):
     from turfline.operators.upsert import incremental_since_watermark
 

@@ -109,6 +109,9 @@ GBT_PARAMS = dict(maxIter=300, maxDepth=4, stepSize=0.05, subsamplingRate=0.8,
                   featureSubsetStrategy="0.8", seed=42)
 CV_FOLDS = 5
 
-# Fixed values of the answers to questions without a match.
+# Fixed values of the answers: questions without a match, the sentence of a prediction, display labels.
 NOT_FOUND_NEWS = "Player not found in database."
 NOT_FOUND_ADVICE = "Try searching by the player's FPL web name (e.g., Salah, Haaland, Saka)."
+EXPECTED_NEWS = ("Expected ", " pts next GW based on form, fixtures, and historical performance.")
+LABEL_PREDICTION = "**ML Prediction** — "
+LABEL_ANALYSIS = " pts\n\n**Analysis**\n"

@@ -17,7 +17,7 @@ from turfline.operators import text as TX
 from turfline.operators import vectors as VX
 from turfline.operators.scoring import classify_advice
 from turfline.operators.windows import last_n_turns
-from turfline.plans.guards import reuse, small_side
+from turfline.plans.guards import looked_up, reuse
 
 NOT_FOUND_NEWS = K.NOT_FOUND_NEWS
 NOT_FOUND_ADVICE = K.NOT_FOUND_ADVICE
@@ -33,23 +33,25 @@ def predict_for_questions(questions: DataFrame, scored: DataFrame, query_col: st
                           id_col: str = "query_id") -> DataFrame:
     """Question -> longest matching player name -> prediction (1 dp, >= 0) -> advice.
 
-    ``scored``: web_name, raw_pred, position_name, has_injury_news, is_available.
-    Players who share a name count once (``one_per_name``), so a question has one answer.
-    Questions without a match get the not-found record."""
+    ``scored``: web_name, raw_pred, position_name, has_injury_news, is_available, and id (the table's
+    order) and minutes where there are such columns. Only players with minutes can be meant; of
+    equally long names the first in the table is. Players who share a name count once
+    (``one_per_name``), so a question has one answer. Questions without a match get the not-found record."""
+    if "minutes" in scored.columns:
+        scored = scored.where(F.col("minutes") > 0)
     scored = one_per_name(scored)
-    match = TX.match_entity_longest(questions, scored.select("web_name"), query_col, "web_name", id_col)
+    order = "id" if "id" in scored.columns else None
+    match = TX.match_entity_longest(questions, scored, query_col, "web_name", id_col, order)
     j = questions.select(id_col, query_col).join(match, id_col)
-    # Unmatched questions (NULL name) bypass the lookup join instead of sharing
-    # one shuffle partition; the dictionary side is broadcast when checked small.
-    hit = j.where(F.col("matched").isNotNull()).join(
-        small_side(scored.withColumnRenamed("web_name", "matched")), "matched", "left")
+    # Unmatched questions (NULL name) bypass the lookup; those of one frequent name are dealt to parts.
+    players = scored.select(F.col("web_name").alias("matched"), "raw_pred", "position_name", "has_injury_news", "is_available")
+    hit = looked_up(j.where(F.col("matched").isNotNull()), "matched", players)
     miss = j.where(F.col("matched").isNull())
     j = hit.unionByName(miss, allowMissingColumns=True)
     xp = F.greatest(round_half_even("raw_pred", 1), F.lit(0.0))
     j = j.withColumn("xp", xp)
     found = F.col("matched").isNotNull()
-    news = F.concat(F.lit("Expected "), F.col("xp").cast("string"),
-                    F.lit(" pts next GW based on form, fixtures, and historical performance."))
+    news = F.concat(F.lit(K.EXPECTED_NEWS[0]), F.col("xp").cast("string"), F.lit(K.EXPECTED_NEWS[1]))
     advice = classify_advice("xp", "position_name", "has_injury_news", "is_available")
     return j.select(
         id_col,
@@ -59,12 +61,6 @@ def predict_for_questions(questions: DataFrame, scored: DataFrame, query_col: st
         F.when(found, advice).otherwise(F.lit(NOT_FOUND_ADVICE)).alias("advice"))
 
 
-def doc_ids(docs: DataFrame) -> DataFrame:
-    """Stable 64-bit document id from the document's identity columns and content (players may
-    share a name; their cards differ)."""
-    return docs.withColumn("doc_id", F.xxhash64("type", "article_id", "name", "chunk_no", "page_content"))
-
-
 def one_per_name(scored: DataFrame, name: str = "web_name") -> DataFrame:
     """One row for each name: the smallest by the other columns, ``id`` first if there is one.
     A partial aggregate, so a name that many rows share is reduced before the shuffle."""
@@ -106,11 +102,6 @@ def assemble_prompt(questions: DataFrame, contexts: DataFrame, history: DataFram
     return j.select(id_col, query_col, "context", "n_context", human.alias("prompt"), msgs.alias("messages"))
 
 
-def build_index(news: DataFrame, players: DataFrame, chunker: str = "recursive") -> DataFrame:
-    docs = doc_ids(TX.build_documents(news, players, chunker))
-    return VX.embed_text(docs, "page_content")
-
-
 def route_batch(messages: DataFrame, index: DataFrame, scored: DataFrame,
                 id_col: str = "query_id", query_col: str = "query") -> DataFrame:
     """Per user question: intent, then the ``ml`` struct, the ``rag`` struct, or both."""
@@ -136,7 +127,7 @@ def shape_response(routed: DataFrame, id_col: str = "query_id") -> DataFrame:
     news but no prediction, else the prediction card."""
     ml, rag = F.col("ml"), F.col("rag")
     pts = F.coalesce(ml["predicted_points"].cast("string"), F.lit("?"))
-    combined = F.concat(F.lit("**ML Prediction** — "), ml["player"], F.lit(": "), pts, F.lit(" pts\n\n**Analysis**\n"),
+    combined = F.concat(F.lit(K.LABEL_PREDICTION), ml["player"], F.lit(": "), pts, F.lit(K.LABEL_ANALYSIS),
                         F.coalesce(rag["news"], F.lit("")))
     def pick(field: str) -> Column:
         return F.when(ml.isNotNull(), ml[field]).otherwise(rag[field])
@@ -158,7 +149,7 @@ def serving_players(names: DataFrame) -> DataFrame:
     n = F.length("web_name")
     pos = F.element_at(F.array(*[F.lit(p) for p in K.POSITIONS]), (n % 4 + 1).cast("int"))
     return names.select(
-        "web_name",
+        "web_name", "id", "minutes",
         (((n * 7) % 81).cast("double") / 10.0 - 0.5).alias("raw_pred"),
         pos.alias("position_name"),
         F.when(n % 5 == 0, 1).otherwise(0).alias("has_injury_news"),

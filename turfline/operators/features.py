@@ -15,6 +15,7 @@ from turfline import constants as K
 from turfline.functions.columns import (clip_col, keyword_flag, label_map, one_hot, per_90,
                                         right_closed_tier, round_half_even, safe_div)
 from turfline.plans.guards import small_side, with_scalars
+from turfline.session import stored
 
 
 # ---------------------------------------------------------------- projections / flags
@@ -120,7 +121,13 @@ IDENTITY_COLS = ["id", "web_name", "position_name", "short_name", "total_points"
 
 
 def feature_frame(players: DataFrame, teams: DataFrame, fixtures: DataFrame) -> DataFrame:
-    """All engineered columns (the wide frame), one row per active player."""
+    """All engineered columns (the wide frame) with the target, one row per active player. What the target's
+    global mean needs is stored first, so the player side is evaluated once."""
+    return add_xp(stored(engineered_columns(players, teams, fixtures), "features"))
+
+
+def engineered_columns(players: DataFrame, teams: DataFrame, fixtures: DataFrame) -> DataFrame:
+    """The wide frame up to the fixture ease: one pass over the players, joined to small team tables."""
     p = filter_active(add_player_flags(players))
 
     # Inner join to the team dimension (checked small -> broadcast). Clashing
@@ -157,17 +164,16 @@ def feature_frame(players: DataFrame, teams: DataFrame, fixtures: DataFrame) ->
         F.col("team_id").alias("_ts_team"),
         F.col("avg_goals_scored").alias("team_avg_goals_scored"),
         F.col("avg_goals_conceded").alias("team_avg_goals_conceded"))
-    p = p.join(small_side(ts, materialize=True), p.team_id == ts._ts_team, "left").drop("_ts_team")
+    p = p.join(small_side(ts, materialize=True), F.col("team_id") == F.col("_ts_team"), "left").drop("_ts_team")
 
     # Upcoming difficulty: left join, fall back to own strength and 0 fixtures.
     fd = fixture_difficulty(fixtures, teams).withColumnRenamed("team_id", "_fd_team")
-    p = p.join(small_side(fd, materialize=True), p.team_id == fd._fd_team, "left").drop("_fd_team")
+    p = p.join(small_side(fd, materialize=True), F.col("team_id") == F.col("_fd_team"), "left").drop("_fd_team")
     p = p.withColumns({
         "avg_opp_strength": F.coalesce(F.col("avg_opp_strength"), F.col("strength").cast("double")),
         "fixture_count": F.coalesce(F.col("fixture_count"), F.lit(0)).cast("long"),
     })
-    p = p.withColumn("fixture_ease", clip_col(F.lit(K.EASE_BASE) - F.col("avg_opp_strength"), lower=0.0))
-    return add_xp(p)
+    return p.withColumn("fixture_ease", clip_col(F.lit(K.EASE_BASE) - F.col("avg_opp_strength"), lower=0.0))
 
 
 def fixture_ease_factor(df: DataFrame) -> DataFrame:

@@ -17,40 +17,94 @@ from turfline import constants as K
 from turfline.functions.columns import clip_col, round_half_even, safe_div
 from turfline.operators.upsert import assign_row_ids
 from turfline.plans.guards import small_side, with_scalars
+from turfline.session import stored
 
 
-#: Ranges of values in which a column's middle ranks are looked for.
-MEDIAN_RANGES = 64
+#: Values of a group that one aggregate may hold; larger groups are narrowed down first.
+SMALL_GROUP = 65_536
+#: Cuts of a range in each round of narrowing.
+RANGE_CUTS = 64
 
 
-def exact_medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
-    """The interpolated median of each column (None without values), by one rule at every size.
+def group_quantiles(df: DataFrame, group: Sequence[str], cols: Sequence[str], q: float, small: int = SMALL_GROUP) -> DataFrame:
+    """group, column, value: the q-quantile of each column in each group, interpolated between the two ranks
+    around ``(n - 1) * q`` (numpy's rule). Nulls do not count; a column without values in a group has no
+    row. Null group values are a group. Without ``group`` the whole frame is one.
 
-    Approximate quantiles only cut a column into ranges. Values are counted per distinct value,
-    counts are added up per range, and the one or two middle ranks are then found among the
-    distinct values of the ranges that hold them. No task holds all the values of a column; the
-    driver sees the cuts and two values for each column.
+    Groups of at most ``small`` values are aggregated at once. For a larger one the two ranks are narrowed
+    down: approximate quantiles cut the range that holds a rank, the values between and on the cuts
+    are counted, and the cell with the rank is the next range, until it is one value or has few.
+    No task or buffer holds a larger group. There are at most rows / ``small`` such groups, which are broadcast.
     """
-    wide = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
-    shares = [k / MEDIAN_RANGES for k in range(1, MEDIAN_RANGES)]
-    cuts = wide.agg(*[F.percentile_approx(f"c{i}", shares, 1000).alias(f"c{i}") for i in range(len(cols))]).first()
-
-    def cell(i: int) -> F.Column:
-        v, ends = F.col(f"c{i}"), F.array(*[F.lit(x) for x in sorted(set(cuts[i] or []))]).cast("array<double>")
-        return F.struct(F.lit(i).alias("c"), v.alias("v"), F.size(F.filter(ends, lambda x: x <= v)).alias("r"))
-
-    cells = F.array(*[cell(i) for i in range(len(cols))])
-    counts = wide.select(F.inline(cells)).where(F.col("v").isNotNull()).groupBy("c", "r", "v").agg(F.count(F.lit(1)).alias("n"))
-    ranges = counts.groupBy("c", "r").agg(F.sum("n").alias("n"))  # at most MEDIAN_RANGES rows a column
-    by_col = Window.partitionBy("c")
-    ranges = ranges.select("c", "r", (F.sum("n").over(by_col.orderBy("r")) - F.col("n")).alias("before"), "n", F.sum("n").over(by_col).alias("total"))
-    low, high = F.expr("(total - 1) div 2"), F.expr("total div 2")  # middle ranks from 0
-    middle = ranges.where((F.col("before") <= high) & (low < F.col("before") + F.col("n"))).drop("n")
-    inside = Window.partitionBy("c", "r").orderBy("v")
-    ranked = counts.join(middle, ["c", "r"]).withColumn("upto", F.col("before") + F.sum("n").over(inside))
-    found = ranked.where((F.col("upto") > low) & (F.col("upto") - F.col("n") <= high))
-    values = {r["c"]: (r["a"] + r["b"]) / 2 for r in found.groupBy("c").agg(F.min("v").alias("a"), F.max("v").alias("b")).collect()}
-    return {c: values.get(i) for i, c in enumerate(cols)}
+    key = F.struct(*group) if group else F.struct(F.lit(0).alias("all"))
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols])
+    values = stored(df.select(key.alias("key"), F.inline(cells)).where(F.col("v").isNotNull()), "values")
+    of = ["key", "column"]
+    sizes = values.groupBy(*of).agg(F.count(F.lit(1)).alias("n"))
+    large = stored(sizes.where(F.col("n") > small), "large")
+    out = values.join(F.broadcast(large.drop("n")), of, "left_anti").groupBy(*of).agg(F.percentile("v", q).alias("value"))
+    if not large.isEmpty():
+        out = out.unionByName(_narrowed(values, large, q, small))
+    return out.select(*[F.col("key")[c].alias(c) for c in group], "column", "value")
+
+
+def _narrowed(values: DataFrame, large: DataFrame, q: float, small: int) -> DataFrame:
+    """key, column, value of the large groups, by rounds of narrowing."""
+    of = ["key", "column", "rank"]
+    at = (F.col("n") - 1) * F.lit(float(q))
+    ranks = large.select("key", "column", "n", F.explode(F.array_distinct(F.array(F.floor(at), F.ceil(at)))).alias("rank"))
+    none = F.lit(None).cast("double")
+    open_ = ranks.select(*of, "n", F.lit(0).cast("long").alias("before"), none.alias("lo"), none.alias("hi"))
+    shares = [k / RANGE_CUTS for k in range(1, RANGE_CUTS)]
+    found: DataFrame | None = None
+
+    def inside(targets: DataFrame) -> DataFrame:
+        rows = values.join(F.broadcast(targets.drop("n")), ["key", "column"])
+        return rows.where((F.col("lo").isNull() | (F.col("v") > F.col("lo"))) & (F.col("hi").isNull() | (F.col("v") < F.col("hi"))))
+
+    def add(part: DataFrame) -> None:
+        nonlocal found
+        found = part if found is None else found.unionByName(part)
+
+    while True:
+        few = open_.where(F.col("n") <= small)
+        ordered = F.array_sort(F.collect_list("v"))  # at most ``small`` values
+        add(stored(inside(few).groupBy(*of, "before").agg(ordered.alias("vs")).select(*of, F.get("vs", (F.col("rank") - F.col("before")).cast("int")).alias("v")), "ranks"))
+        open_ = open_.where(F.col("n") > small)
+        if open_.isEmpty():
+            break
+        cuts = inside(open_).groupBy(*of).agg(F.percentile_approx("v", shares, 1000).alias("cuts"))
+        cut = stored(open_.join(F.broadcast(cuts), of).withColumn("cuts", F.array_sort(F.array_distinct("cuts"))), "cuts")
+        # odd cells are the cuts themselves, even ones lie between them
+        cell = F.size(F.filter("cuts", lambda x: x <= F.col("v"))) + F.size(F.filter("cuts", lambda x: x < F.col("v")))
+        counts = inside(cut).groupBy(*of, cell.alias("cell")).agg(F.count(F.lit(1)).alias("m"))
+        upto = counts.withColumn("upto", F.sum("m").over(Window.partitionBy(*of).orderBy("cell")))  # 2 * RANGE_CUTS rows a rank
+        hit = upto.join(F.broadcast(cut.drop("n")), of).withColumn("past", F.col("before") + F.col("upto") - F.col("m"))
+        hit = stored(hit.where((F.col("past") <= F.col("rank")) & (F.col("rank") < F.col("past") + F.col("m"))), "cells")
+        no = F.expr("cell div 2").cast("int")
+        add(hit.where("cell % 2 = 1").select(*of, F.get("cuts", no).alias("v")))
+        open_ = hit.where("cell % 2 = 0").select(
+            *of, F.col("m").alias("n"), F.col("past").alias("before"),
+            F.coalesce(F.when(no > 0, F.get("cuts", no - 1)), "lo").alias("lo"), F.coalesce(F.get("cuts", no), "hi").alias("hi"))
+    both = found.join(F.broadcast(large), ["key", "column"]).groupBy("key", "column", "n").agg(
+        F.min_by("v", "rank").alias("a"), F.max_by("v", "rank").alias("b"))
+    share = (F.col("n") - 1) * F.lit(float(q)) - F.floor((F.col("n") - 1) * F.lit(float(q)))
+    return both.select("key", "column", ((F.lit(1.0) - share) * F.col("a") + share * F.col("b")).alias("value"))
+
+
+def exact_medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
+    """The interpolated median of each column (None without values), by one rule at every size
+    (``group_quantiles``). The driver sees one value for each column."""
+    values = {r["column"]: r["value"] for r in group_quantiles(df, [], cols, 0.5).collect()}
+    return {c: values.get(c) for c in cols}
+
+
+def value_summary(df: DataFrame, col: str, name: str) -> DataFrame:
+    """One row: mean, median, max and population deviation of a column (nulls left out)."""
+    df = stored(df.select(F.col(col).cast("double").alias(col)), "summary")
+    median = group_quantiles(df, [], [col], 0.5).agg(F.max("value").alias("m"))
+    return df.agg(F.avg(col).alias(f"{name}_mean"), F.max(col).alias(f"{name}_max"), F.stddev_pop(col).alias(f"{name}_std")).select(
+        f"{name}_mean", median.scalar().alias(f"{name}_median"), f"{name}_max", f"{name}_std")
 
 
 def impute_median(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None = None) -> DataFrame:
@@ -61,7 +115,9 @@ def impute_median(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None =
 
 
 def normalize_minmax(df: DataFrame, cols: Sequence[str], suffix: str = "_norm") -> DataFrame:
-    """``(x - min) / (max - min + 1e-9)`` for each column, one aggregate for all."""
+    """``(x - min) / (max - min + 1e-9)`` for each column, one aggregate for all. The frame is stored first:
+    what derives it runs once."""
+    df = stored(df, "unscaled")
     aggs = []
     for c in cols:
         aggs += [F.min(c).alias(f"_mn_{c}"), F.max(c).alias(f"_mx_{c}")]
@@ -146,13 +202,13 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def group_quantile_flag(df: DataFrame, score: str, group: Sequence[str], q: float = 0.7,
-                        flag: str = "highlight", approx: bool = False) -> DataFrame:
-    """Mark rows at or above the group's q-quantile (linear interpolation; the
-    ``approx`` switch bounds memory for large groups)."""
-    pct = F.percentile_approx(score, q, 10000) if approx else F.percentile(score, q)
-    qs = df.groupBy(*group).agg(pct.alias("_q"))
-    return df.join(small_side(qs, materialize=True), list(group)).withColumn(
-        flag, F.col(score) >= F.col("_q")).drop("_q")
+                        flag: str = "highlight") -> DataFrame:
+    """Mark rows at or above the group's q-quantile (linear interpolation). Null groups are a group; a null
+    score is not marked."""
+    df = stored(df, "scored")
+    qs = group_quantiles(df, group, [score], q).select(F.struct(*group).alias("_g"), F.col("value").alias("_q"))
+    marked = df.withColumn("_g", F.struct(*group)).join(small_side(qs, materialize=True), "_g", "left")
+    return marked.withColumn(flag, F.col(score) >= F.col("_q")).drop("_q", "_g")
 
 
 def batch_score(df: DataFrame, raw: str = "raw_pred", out: str = "predicted_xP",

@@ -10,12 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turfline.plans.guards import DEFAULT_BROADCAST_ROWS, bounded_count
+from turfline.session import stored
 
 
 def _pick_by_key(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], last: bool) -> DataFrame:
@@ -50,21 +49,14 @@ def upsert_by_key(existing: DataFrame, updates: DataFrame, keys: Sequence[str],
     return latest_by_key(ex.unionByName(up), keys, ["_v", *order_cols]).drop("_v", *extra)
 
 
-def insert_if_absent(existing: DataFrame, batch: DataFrame, key: str = "url",
-                     order_col: str = "id", max_broadcast_keys: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def insert_if_absent(existing: DataFrame, batch: DataFrame, key: str = "url", order_col: str = "id") -> DataFrame:
     """Rows of ``batch`` whose ``key`` is not stored yet; first occurrence in the
     batch wins; stored rows never change. Returns only the rows to insert.
 
-    When the batch's keys are under the bound (a micro-batch), the stored table
-    is scanned (key column only) against a broadcast of those keys to find the
-    ones already present, so the stored side is never shuffled; larger batches
-    use a plain anti join."""
+    For any two frames: the batch is reduced map-side to one row a key, then one anti join. A table that
+    grows by batches keeps its keys in buckets with Bloom filters (``stores.KeyedTable``)."""
     firsts = first_by_key(batch, [key], [order_col])
-    keys = firsts.select(key)
-    if bounded_count(keys, max_broadcast_keys) <= max_broadcast_keys:
-        present = existing.select(key).join(F.broadcast(keys), on=key, how="left_semi")
-        return firsts.join(present, on=key, how="left_anti")
-    return firsts.join(existing.select(key), on=key, how="left_anti")
+    return firsts.join(existing.select(key), on=key, how="left_anti").select(*batch.columns)
 
 
 def insert_if_absent_count(existing: DataFrame, batch: DataFrame, key: str = "url",
@@ -85,13 +77,11 @@ def assign_row_ids(df: DataFrame, order_cols: Sequence, start: int | DataFrame =
     partition). ``order_cols`` must be a total order for reproducible ids.
     ``start`` is a constant or a one-row DataFrame with a column ``start``.
     """
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    tagged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-              .withColumn("_p", F.spark_partition_id())
-              .withColumn("_m", F.monotonically_increasing_id())
-              .persist(StorageLevel.MEMORY_AND_DISK))
+    ranged = df.repartitionByRange(num_partitions, *order) if num_partitions else df.repartitionByRange(*order)
+    tagged = stored(ranged.sortWithinPartitions(*order)
+                    .withColumn("_p", F.spark_partition_id())
+                    .withColumn("_m", F.monotonically_increasing_id()), "numbered")
     counts = tagged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     # One row per partition: a window without keys is bounded by the partition count.
     w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)

@@ -62,8 +62,10 @@ FROM (SELECT o_orderkey AS id,
 SELECT doc_id AS id, source, SUBSTR(text, 1, 60) AS title, MD5(text) AS url, text AS body
 FROM documents""",
     "fx_names": """
-SELECT DISTINCT SUBSTR(text, 1, POSITION(' ' IN text) - 1) AS web_name
-FROM benchmark WHERE POSITION(' ' IN text) > 3""",
+SELECT w AS web_name, MIN(item_id * 100000 + p) AS id,
+       CASE WHEN MIN(item_id * 100000 + p) % 5 = 0 THEN 0 ELSE MIN(item_id * 100000 + p) % 91 END AS minutes
+FROM (SELECT item_id, unnest(string_split(text, ' ')) AS w, unnest(range(len(string_split(text, ' ')))) AS p FROM benchmark) t
+WHERE length(w) >= 3 GROUP BY w""",
     "fx_queries": """
 SELECT conv_id * 100 + turn AS query_id, conv_id, turn, role, text AS query
 FROM conversations""",

@@ -10,6 +10,7 @@ from turfline.operators import serve as SV
 from turfline.operators.upsert import first_by_key
 from turfline.plans.catalog import register
 from turfline.sources import fixtures as FX
+from turfline.sources.tables import read_table
 
 
 @register("player_history_series", oracle="""
@@ -79,16 +80,15 @@ SELECT pattern, rank, id, web_name, team_name, goals_scored, assists, total_poin
 FROM (SELECT p.*, t.name AS team_name, q.pattern,
              ROW_NUMBER() OVER (PARTITION BY q.pattern ORDER BY p.id) AS rank
       FROM fx_players p LEFT JOIN fx_teams t ON p.team_id = t.id
-      JOIN (SELECT DISTINCT lower(split_part(n_name, ' ', 1)) AS pattern FROM nation) q
+      JOIN (SELECT DISTINCT lower(n_name) AS pattern FROM nation UNION SELECT DISTINCT lower(substr(c_name, 14)) FROM customer) q
         ON contains(lower(p.web_name), q.pattern) OR COALESCE(contains(lower(t.name), q.pattern), false)) z
 WHERE rank <= 10"""
 
 
 def search_patterns(spark, sf):
-    """Search terms: the first word of each nation name (whole words)."""
-    from turfline.sources.tables import read_table
-    n = read_table(spark, sf, "nation")
-    return n.select(F.lower(F.split("n_name", " ").getItem(0)).alias("pattern")).distinct()
+    """Search terms: every nation's name, and the last digits of every customer's."""
+    n, c = read_table(spark, sf, "nation"), read_table(spark, sf, "customer")
+    return n.select(F.col("n_name").alias("pattern")).union(c.select(F.expr("substr(c_name, 14)"))).distinct()
 
 
 @register("search_entities", oracle=SEARCH_SQL, fx=["fx_players", "fx_teams"], rounded=["progress"])

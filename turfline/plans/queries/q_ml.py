@@ -1,7 +1,7 @@
 """Catalog entries: tree training, CV, model choice, importances, bundles, reports.
 
-Tree outputs are checked rows-only (no SQL oracle). Trained models are kept
-per (session, scale) so the ML keys of one run share a single fit.
+Tree outputs are checked rows-only (no SQL oracle). Trained models and the stored
+feature table are kept per (application, scale), so the ML keys of one run share a single fit.
 """
 
 from __future__ import annotations
@@ -16,23 +16,23 @@ from turfline.operators import ml as ML
 from turfline.plans.catalog import register
 from turfline.plans.queries.q_features import FEATURE_FX, FEATURE_SELECT, ORACLE_FEATURE_CTES, _inputs
 from turfline.plans.guards import with_scalars
-from turfline.session import ensure_checkpoint_dir
+from turfline.session import ensure_checkpoint_dir, stored
 
 _CACHE: dict = {}
 
 
 def _features(spark, sf):
-    key = ("features", id(spark), sf)
+    key = (spark.sparkContext.applicationId, "features", sf)
     if key not in _CACHE:
-        _CACHE[key] = FT.feature_table(*_inputs(spark, sf)).cache()
+        _CACHE[key] = stored(FT.feature_table(*_inputs(spark, sf)), "features")
     return _CACHE[key]
 
 
 def _trained_one(spark, sf, kind):
-    key = ("model", id(spark), sf, kind)
+    key = (spark.sparkContext.applicationId, "model", sf, kind)
     if key not in _CACHE:
         models, metrics = ML.train_and_evaluate(_features(spark, sf), kinds=(kind,))
-        _CACHE[key] = (models[kind], metrics.cache())
+        _CACHE[key] = (models[kind], stored(metrics, "metrics"))
     return _CACHE[key]
 
 

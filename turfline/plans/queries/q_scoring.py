@@ -280,9 +280,7 @@ def q_correlation_matrix(spark, sf):
 SELECT AVG(xP) AS xp_mean, MEDIAN(xP) AS xp_median, MAX(xP) AS xp_max, STDDEV_POP(xP) AS xp_std FROM o_feat""",
           fx=FEATURE_FX, ctes=ORACLE_FEATURE_CTES, rounded=["xp_mean", "xp_median", "xp_max", "xp_std"])
 def q_xp_summary(spark, sf):
-    ft = FT.feature_table(*_inputs(spark, sf))
-    return ft.agg(F.avg("xP").alias("xp_mean"), F.median("xP").alias("xp_median"),
-                  F.max("xP").alias("xp_max"), F.stddev_pop("xP").alias("xp_std"))
+    return SC.value_summary(FT.feature_table(*_inputs(spark, sf)), "xP", "xp")
 
 
 @register("train_test_split", oracle=f"""

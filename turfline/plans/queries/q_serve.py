@@ -6,15 +6,19 @@ from pyspark.sql import functions as F
 
 from turfline import constants as K
 from turfline.operators import answer as AN
+from turfline.operators import index as IX
 from turfline.operators.windows import last_n_turns
 from turfline.plans.catalog import register
 from turfline.plans.queries.q_scoring import ADVICE_SQL_CASE
 from turfline.sources import fixtures as FX
+from turfline.sources.segments import SegmentStore
+from turfline.streaming.jobs import run_dir
 
-_CACHE: dict = {}
+#: Where the index of a table folder was stored in this application, and the answers over it.
+_STORED: dict[tuple[str, str, str], str] = {}
 
 SERVING_PLAYERS_SQL = """
-SELECT web_name, CAST((length(web_name) * 7) % 81 AS DOUBLE) / 10.0E0 - 0.5E0 AS raw_pred,
+SELECT web_name, id, minutes, CAST((length(web_name) * 7) % 81 AS DOUBLE) / 10.0E0 - 0.5E0 AS raw_pred,
        ['GKP', 'DEF', 'MID', 'FWD'][length(web_name) % 4 + 1] AS position_name,
        CASE WHEN length(web_name) % 5 = 0 THEN 1 ELSE 0 END AS has_injury_news,
        length(web_name) % 7 <> 0 AS is_available
@@ -30,8 +34,8 @@ SELECT query_id, CASE WHEN matched IS NOT NULL THEN matched ELSE query END AS pl
 FROM (SELECT m.query_id, m.query, m.matched, s.raw_pred, s.position_name AS pos, s.has_injury_news, s.is_available,
              GREATEST(round_even(s.raw_pred, 1), 0.0E0) AS xp
       FROM (SELECT q.query_id, q.query,
-                   (SELECT n.web_name FROM sp n WHERE contains(lower(q.query), lower(n.web_name))
-                    ORDER BY length(n.web_name) DESC, n.web_name LIMIT 1) AS matched
+                   (SELECT n.web_name FROM sp n WHERE n.minutes > 0 AND contains(lower(q.query), lower(n.web_name))
+                    ORDER BY length(n.web_name) DESC, n.id LIMIT 1) AS matched
             FROM fx_queries q) m
       LEFT JOIN sp s ON s.web_name = m.matched) t"""
 
@@ -44,10 +48,13 @@ def q_predict_for_questions(spark, sf):
 
 
 def _index(spark, sf):
-    key = ("index", id(spark), sf)
-    if key not in _CACHE:
-        _CACHE[key] = AN.build_index(FX.fx_news(spark, sf), FX.fx_players(spark, sf)).cache()
-    return _CACHE[key]
+    """The stored index with recursive chunks; built once for an application and folder."""
+    key = (spark.sparkContext.applicationId, "index", sf)
+    if key not in _STORED:
+        base = run_dir(spark, "serving")
+        IX.rebuild(SegmentStore(spark, base), FX.fx_news(spark, sf), FX.fx_players(spark, sf))
+        _STORED[key] = base
+    return IX.read_index(SegmentStore(spark, _STORED[key]))
 
 
 @register("assemble_prompt")
@@ -61,11 +68,14 @@ def q_assemble_prompt(spark, sf):
 
 
 def _routed(spark, sf):
-    key = ("routed", id(spark), sf)
-    if key not in _CACHE:
-        scored = AN.serving_players(FX.fx_names(spark, sf))
-        _CACHE[key] = AN.route_batch(FX.fx_queries(spark, sf), _index(spark, sf), scored)
-    return _CACHE[key]
+    """The answers of all questions, written once for an application and folder."""
+    key = (spark.sparkContext.applicationId, "routed", sf)
+    if key not in _STORED:
+        routed = AN.route_batch(FX.fx_queries(spark, sf), _index(spark, sf), AN.serving_players(FX.fx_names(spark, sf)))
+        base = run_dir(spark, "routed")
+        routed.write.parquet(base)
+        _STORED[key] = base
+    return spark.read.parquet(_STORED[key])
 
 
 @register("route_batch")

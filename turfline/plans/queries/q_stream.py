@@ -6,9 +6,8 @@ import os
 
 from pyspark.sql import functions as F
 
-from turfline import constants as K
 from turfline.plans.catalog import register
-from turfline.plans.queries.q_text import NEWS_TEXT_SQL
+from turfline.plans.queries.q_index import NEWS_DOCS_SQL, index_sql, vector_digest
 from turfline.sources import fixtures as FX
 from turfline.sources.tables import read_table
 from turfline.streaming import jobs as SJ
@@ -22,8 +21,8 @@ def q_stream_upsert(spark, sf):
     events = read_table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value")
     base = SJ.run_dir(spark, "events")
     src = os.path.join(base, "source")
-    # Files by day: each day is one file, arriving as one micro-batch.
-    events.withColumn("day", F.to_date("ts")).repartition("day").write.partitionBy("day").parquet(src)
+    # Files by day, several for a day that lies in several ranges; a micro-batch takes seven files.
+    events.withColumn("day", F.to_date("ts")).repartitionByRange("day", "event_id").write.partitionBy("day").parquet(src)
     table = SJ.stream_upsert(spark, src, events.schema, ["user_id"], ["ts", "event_id"], max_files=7,
                              base=os.path.join(base, "out"))
     return table.select("user_id", "event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"),
@@ -49,11 +48,8 @@ def q_stream_insert_if_absent(spark, sf):
 
 
 @register("stream_refresh_index", oracle=f"""
-SELECT article_id, CAST(k AS INTEGER) AS chunk_no,
-       md5(substr(full_text, k * {K.CHUNK_SIZE - K.CHUNK_OVERLAP} + 1, {K.CHUNK_SIZE})) AS content_md5
-FROM ({NEWS_TEXT_SQL} WHERE id IN (SELECT id FROM ({FIRST_NEWS_SQL}) f)) t,
-     LATERAL (SELECT unnest(generate_series(0, GREATEST(0, CAST(ceil((length(full_text) - {K.CHUNK_SIZE}) / {float(K.CHUNK_SIZE - K.CHUNK_OVERLAP)}) AS BIGINT)))) AS k) s
-WHERE length(full_text) > 0""", fx=["fx_news"])
+SELECT article_id, chunk_no, content_hash, vector FROM ({index_sql(f"SELECT * FROM ({NEWS_DOCS_SQL}) n0 WHERE article_id IN (SELECT id FROM ({FIRST_NEWS_SQL}) f)")}) i""",
+          fx=["fx_news"])
 def q_stream_refresh_index(spark, sf):
     _, idx = _news_stream(spark, sf, index=True)
-    return idx.select("article_id", "chunk_no", F.md5("page_content").alias("content_md5"))
+    return idx.select("article_id", "chunk_no", "content_hash", vector_digest().alias("vector"))

@@ -99,22 +99,23 @@ def q_detect_proper_noun(spark, sf):
     return q.select("query_id", TX.detect_proper_noun("query").alias("name"))
 
 
-MATCH_SQL = """
+def match_sql(order: str) -> str:
+    return f"""
 SELECT q.query_id,
        (SELECT n.web_name FROM fx_names n WHERE contains(lower(q.query), lower(n.web_name))
-        ORDER BY length(n.web_name) DESC, n.web_name LIMIT 1) AS matched
+        ORDER BY length(n.web_name) DESC, {order} LIMIT 1) AS matched
 FROM fx_queries q"""
 
 
-@register("match_entity_longest", oracle=MATCH_SQL, fx=["fx_queries", "fx_names"])
+@register("match_entity_longest", oracle=match_sql("n.id"), fx=["fx_queries", "fx_names"])
 def q_match_entity_longest(spark, sf):
-    return TX.match_entity_longest(FX.fx_queries(spark, sf), FX.fx_names(spark, sf))
+    return TX.match_entity_longest(FX.fx_queries(spark, sf), FX.fx_names(spark, sf), order_col="id")
 
 
-@register("match_entity_longest_join", oracle=MATCH_SQL, fx=["fx_queries", "fx_names"])
+@register("match_entity_longest_join", oracle=match_sql("n.web_name"), fx=["fx_queries", "fx_names"])
 def q_match_entity_longest_join(spark, sf):
-    # Same operator forced onto its large-dictionary path (distributed equi-join).
-    return TX.match_entity_longest(FX.fx_queries(spark, sf), FX.fx_names(spark, sf), max_dictionary=0)
+    # The same operator for a dictionary without an order: ties go to the smallest name.
+    return TX.match_entity_longest(FX.fx_queries(spark, sf), FX.fx_names(spark, sf))
 
 
 @register("entity_note_articles", oracle=f"""

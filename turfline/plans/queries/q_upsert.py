@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turfline import constants as K
 from turfline.operators import text as TX
 from turfline.operators import upsert as UP
+from turfline.operators.stores import KeyedTable
 from turfline.plans.catalog import register
-from turfline.plans.queries.q_text import CARD_SQL, NEWS_TEXT_SQL
+from turfline.plans.queries.q_text import CARD_SQL
 from turfline.sources import fixtures as FX
 from turfline.sources.tables import read_table
+from turfline.streaming.jobs import run_dir
 
 BATCH_TS = "2024-06-01 00:00:00"
 
@@ -75,14 +78,22 @@ def stored_news(spark, sf):
 @register("insert_if_absent", oracle="SELECT id, url FROM new_rows", fx=["fx_news"],
           ctes=[("stored", STORED_NEWS_SQL), ("new_rows", NEW_NEWS_SQL)])
 def q_insert_if_absent(spark, sf):
-    return UP.insert_if_absent(stored_news(spark, sf), FX.fx_news(spark, sf)).select("id", "url")
+    # The table stored before the batch, in buckets with Bloom filters; the batch is all news.
+    news = FX.fx_news(spark, sf)
+    table = KeyedTable(spark, os.path.join(run_dir(spark, "articles"), "table"), news.schema, "url", "id")
+    table.insert(stored_news(spark, sf))
+    return table.insert(news)[0].select("id", "url")
 
 
 @register("insert_if_absent_count", oracle="""
 SELECT COUNT(*) AS inserted, COUNT(*) + (SELECT COUNT(*) FROM stored) AS total FROM new_rows""",
           fx=["fx_news"], ctes=[("stored", STORED_NEWS_SQL), ("new_rows", NEW_NEWS_SQL)])
 def q_insert_if_absent_count(spark, sf):
-    return UP.insert_if_absent_count(stored_news(spark, sf), FX.fx_news(spark, sf))
+    news = FX.fx_news(spark, sf)
+    table = KeyedTable(spark, os.path.join(run_dir(spark, "articles"), "table"), news.schema, "url", "id")
+    table.insert(stored_news(spark, sf))
+    inserted = table.insert(news)[0].agg(F.count(F.lit(1)).alias("inserted"))
+    return inserted.select("inserted", table.read().agg(F.count(F.lit(1))).scalar().alias("total"))
 
 
 @register("anti_join_new", oracle="SELECT id, url FROM fx_news WHERE url NOT IN (SELECT url FROM stored)",
@@ -181,36 +192,3 @@ def q_refresh_by_key(spark, sf):
     batch = TX.player_documents(refreshed_players(spark, sf))
     out = UP.refresh_by_key(stored, batch, "name")
     return out.select("type", "name", F.md5("page_content").alias("content_md5"))
-
-
-DOCS_FIXED_SQL = f"""
-SELECT 'news' AS type, article_id, CAST(NULL AS VARCHAR) AS name, CAST(k AS INTEGER) AS chunk_no,
-       md5(substr(full_text, k * {K.CHUNK_SIZE - K.CHUNK_OVERLAP} + 1, {K.CHUNK_SIZE})) AS content_md5
-FROM ({NEWS_TEXT_SQL}) t,
-     LATERAL (SELECT unnest(generate_series(0, GREATEST(0, CAST(ceil((length(full_text) - {K.CHUNK_SIZE}) / {float(K.CHUNK_SIZE - K.CHUNK_OVERLAP)}) AS BIGINT)))) AS k) s
-WHERE length(full_text) > 0"""
-
-
-@register("full_rebuild", oracle=DOCS_FIXED_SQL + f"""
-UNION ALL SELECT 'player', CAST(NULL AS BIGINT), name, 0, md5(page_content) FROM ({CARD_SQL}) c""",
-          fx=["fx_news", "fx_players"])
-def q_full_rebuild(spark, sf):
-    from turfline.operators.index import full_rebuild
-    docs, _state = full_rebuild(FX.fx_news(spark, sf), FX.fx_players(spark, sf), chunker="fixed")
-    return docs.select("type", "article_id", "name", "chunk_no", F.md5("page_content").alias("content_md5"))
-
-
-@register("index_update_incremental", oracle=DOCS_FIXED_SQL + f"""
-UNION ALL SELECT 'player', CAST(NULL AS BIGINT), name, 0, md5(page_content) FROM ({REFRESHED_CARD_SQL}) c
-UNION ALL SELECT 'player', CAST(NULL AS BIGINT), name, 0, md5(page_content) FROM ({CARD_SQL}) c2
-  WHERE name NOT IN (SELECT name FROM ({REFRESHED_CARD_SQL}) r)""", fx=["fx_news", "fx_players"])
-def q_index_update_incremental(spark, sf):
-    from turfline.operators.index import update_incremental
-    news = FX.fx_news(spark, sf)
-    state = news_state(spark, sf)
-    mark = UP.watermark_value(state, "last_news_id")
-    # The stored index: news up to the mark and the cards of the previous stats run.
-    stored = TX.news_documents(news.where(F.col("id") <= mark), "fixed").unionByName(
-        TX.player_documents(FX.fx_players(spark, sf)))
-    docs, _state = update_incremental(stored, state, news, refreshed_players(spark, sf), chunker="fixed")
-    return docs.select("type", "article_id", "name", "chunk_no", F.md5("page_content").alias("content_md5"))

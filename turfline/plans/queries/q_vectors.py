@@ -7,16 +7,11 @@ metadata filter.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import functions as F
 
 from turfline import constants as K
-from turfline.operators import text as TX
 from turfline.operators import vectors as VX
 from turfline.plans.catalog import register
-from turfline.session import ensure_checkpoint_dir
-from turfline.sources import fixtures as FX
 from turfline.sources.tables import read_table
 
 
@@ -48,9 +43,9 @@ def q_knn_topk(spark, sf):
 
 @register("knn_topk_blocked", oracle=_knn_sql(K.RETRIEVE_K, False), rounded=["score"])
 def q_knn_topk_blocked(spark, sf):
-    # The same operator on its large-query-set path (query blocks x corpus chunks).
+    # The same operator with few, large cells.
     corpus, queries = _emb(spark, sf)
-    return VX.knn_topk(corpus, queries, K.RETRIEVE_K, exclude_self=True, blocks=3)
+    return VX.knn_topk(corpus, queries, K.RETRIEVE_K, exclude_self=True, cells=3)
 
 
 @register("knn_topk_filtered", oracle=_knn_sql(1, True), rounded=["score"])
@@ -71,23 +66,3 @@ def q_mmr_select(spark, sf):
 def q_retrieve_hybrid(spark, sf):
     corpus, queries = _emb(spark, sf)
     return VX.retrieve_hybrid(corpus, queries, K.RETRIEVE_K, filter_col="label", exclude_self=True)
-
-
-@register("embed_text", oracle="""
-SELECT doc_id, 256 AS dims,
-       CASE WHEN regexp_matches(COALESCE(text, ''), '[0-9A-Za-z_]') THEN 1.0E0 ELSE 0.0E0 END AS sq_norm
-FROM documents""", rounded=["sq_norm:4"])
-def q_embed_text(spark, sf):
-    # Checked through its invariants: 256 hashed dimensions, unit L2 norm for any
-    # text with a word token, zero vector otherwise.
-    docs = read_table(spark, sf, "documents").select("doc_id", "text")
-    e = VX.embed_text(docs, "text")
-    return e.select("doc_id", F.size("embedding").alias("dims"),
-                    F.aggregate("embedding", F.lit(0.0).cast("double"), lambda a, x: a + x * x).alias("sq_norm"))
-
-
-@register("vector_index_build")
-def q_vector_index_build(spark, sf):
-    docs = TX.build_documents(FX.fx_news(spark, sf), FX.fx_players(spark, sf))
-    path = os.path.join(ensure_checkpoint_dir(spark), "index", os.path.basename(sf.rstrip("/")))
-    return VX.write_index(docs, path)

@@ -4,13 +4,15 @@ The reference refreshes on a timer; here each refresh is a micro-batch of new
 files read by a file source with a checkpoint, processed with ``foreachBatch``:
 
 * ``stream_upsert``: every batch is reduced to its latest row per key and
-  appended to a change log under ``epoch=<id>`` (rewriting the same epoch on a
-  retry keeps it exactly-once); the table is the log read back through
-  ``latest_by_key`` (merge on read, partial aggregation) and can be compacted.
+  becomes a segment of an ``UpsertTable``; segments are merged level by level, so
+  reading stays bounded after many batches.
 * ``stream_insert_if_absent``: url de-duplication keeps no operator state; each
-  batch is anti-joined against the stored table, so state is the table itself.
-* ``stream_refresh_index``: the same batch builds index documents for the rows
-  it inserted, and does nothing when the insert was empty.
+  batch asks the Bloom filters of a ``KeyedTable`` and reads the stored urls of the
+  buckets that may hold one of its own.
+* ``stream_refresh_index``: the same batch embeds the rows it inserted into the
+  stored index, and does nothing when the insert was empty.
+
+Tables note the last batch they committed, so a batch that is tried again is not applied twice.
 """
 
 from __future__ import annotations
@@ -22,9 +24,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turfline.operators import text as TX
-from turfline.operators.upsert import insert_if_absent, latest_by_key
+from turfline.operators import index as IX
+from turfline.operators.stores import KeyedTable, UpsertTable
 from turfline.session import ensure_checkpoint_dir
+from turfline.sources.segments import SegmentStore
 
 
 def run_dir(spark: SparkSession, name: str) -> str:
@@ -32,83 +35,40 @@ def run_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(hpath)
-
-
-def read_table_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
-    if _exists(spark, path):
-        return spark.read.schema(schema).parquet(path)
-    return spark.createDataFrame([], schema)
+def _run(spark: SparkSession, source_path: str, schema, max_files: int, base: str, apply) -> None:
+    """All files of the source in micro-batches of ``max_files``, each given to ``apply(batch, epoch)``."""
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source_path)
+    q = (src.writeStream.foreachBatch(apply).option("checkpointLocation", os.path.join(base, "_checkpoint"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
 
 
 def stream_upsert(spark: SparkSession, source_path: str, schema, keys: Sequence[str], order_cols: Sequence[str],
                   max_files: int = 1, base: str | None = None) -> DataFrame:
     """Upsert each micro-batch of new files into a keyed table; returns the table."""
     base = base or run_dir(spark, "upsert")
-    log_path, ckpt = os.path.join(base, "log"), os.path.join(base, "_checkpoint")
-
-    def apply(batch: DataFrame, epoch: int) -> None:
-        reduced = latest_by_key(batch, keys, order_cols)
-        reduced.write.mode("overwrite").parquet(os.path.join(log_path, f"epoch={epoch}"))
-
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source_path)
-    q = (src.writeStream.foreachBatch(apply).option("checkpointLocation", ckpt)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return upserted_table(spark, log_path, schema, keys, order_cols)
-
-
-def upserted_table(spark: SparkSession, log_path: str, schema, keys: Sequence[str],
-                   order_cols: Sequence[str]) -> DataFrame:
-    log = read_table_or_empty(spark, log_path, schema)
-    return latest_by_key(log.select(*schema.fieldNames()), keys, order_cols)
-
-
-def compact(spark: SparkSession, log_path: str, out_path: str, schema, keys, order_cols) -> DataFrame:
-    """Materialise the current table (lineage cut by the written table)."""
-    upserted_table(spark, log_path, schema, keys, order_cols).write.mode("overwrite").parquet(out_path)
-    return spark.read.parquet(out_path)
+    table = UpsertTable(spark, os.path.join(base, "table"), schema, keys, order_cols)
+    _run(spark, source_path, schema, max_files, base, lambda batch, epoch: table.upsert(batch, epoch))
+    return table.read()
 
 
 def stream_insert_if_absent(spark: SparkSession, source_path: str, schema, key: str = "url",
                             order_col: str = "id", max_files: int = 1, base: str | None = None,
                             index: bool = False, chunker: str = "fixed") -> tuple[DataFrame, DataFrame | None]:
     """Insert new articles deduplicated by ``key`` across batches (first arrival
-    wins); with ``index`` also append index documents for each batch that
+    wins); with ``index`` also embed the documents of each batch that
     inserted something. Returns (stored table, index or None)."""
     base = base or run_dir(spark, "insert")
-    table_path, index_path = os.path.join(base, "table"), os.path.join(base, "index")
-    ckpt = os.path.join(base, "_checkpoint")
-    fields = schema.fieldNames()
+    table = KeyedTable(spark, os.path.join(base, "table"), schema, key, order_col)
+    documents = SegmentStore(spark, os.path.join(base, "index"))
 
     def apply(batch: DataFrame, epoch: int) -> None:
-        s = batch.sparkSession
-        # The stored table, minus this epoch's own output: a retried epoch
-        # recomputes exactly the rows it wrote before.
-        if _exists(s, table_path):
-            stored = s.read.parquet(table_path).where(F.col("epoch") != epoch)
-        else:
-            stored = s.createDataFrame([], schema)
-        new = insert_if_absent(stored, batch.select(*fields), key, order_col)
-        new = new.persist()
-        inserted = new.limit(1).count()
-        new.write.mode("overwrite").parquet(os.path.join(table_path, f"epoch={epoch}"))
-        if index and inserted > 0:
-            docs = TX.news_documents(new, chunker)
-            docs.write.mode("overwrite").parquet(os.path.join(index_path, f"epoch={epoch}"))
-        new.unpersist()
+        rows, _ = table.insert(batch, epoch)
+        if index:
+            IX.add_news(documents, rows, chunker, epoch)
 
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source_path)
-    q = (src.writeStream.foreachBatch(apply).option("checkpointLocation", ckpt)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    table = read_table_or_empty(spark, table_path, schema).select(*fields)
-    idx = spark.read.parquet(index_path) if index and _exists(spark, index_path) else None
-    return table, idx
+    _run(spark, source_path, schema, max_files, base, apply)
+    return table.read(), IX.read_index(documents) if index else None
 
 
 def write_ordered_files(df: DataFrame, order_col: str, path: str, parts: int = 4) -> str:
