@@ -236,23 +236,32 @@ def read_records(spark: SparkSession, path: str | list[str], whole_files: bool =
 
 
 def capture_of(records: DataFrame) -> DataFrame:
-    """record_id -> capture (the record_id of its response or revisit), for all records that belong to one.
+    """record_id -> capture (the record_id of its response or revisit), for all other records that belong to one.
 
-    WARC-Concurrent-To counts in both directions, and over several steps (a metadata record that
-    names the request that names the response): each round takes the records linked with one that is already
-    assigned, until none is left. Of several captures a record is linked with, it goes to the least.
+    WARC-Concurrent-To counts in both directions. Records linked with a capture come first; those that are
+    linked over other records only (a metadata record that names the request that the response names)
+    follow round by round, until none is left. Of several captures a record goes to the least.
     """
-    captures = records.where(F.col("warc_type").isin("response", "revisit"))
-    known = captures.select("record_id", F.col("record_id").alias("capture")).distinct()
-    named = records.select("record_id", F.explode("concurrent_to").alias("other"))
+    is_capture = F.col("warc_type").isin("response", "revisit")
+    captures = records.where(is_capture).select(F.col("record_id").alias("capture"), "concurrent_to")
+    others = records.where(~is_capture & F.col("record_id").isNotNull())
+    named = others.select("record_id", F.explode("concurrent_to").alias("other"))
+    ids = captures.select(F.col("capture").alias("other"), "capture")
+    direct = named.join(ids, "other").select("record_id", "capture").unionByName(
+        captures.select(F.explode("concurrent_to").alias("record_id"), "capture"))
+    known = stored(direct.groupBy("record_id").agg(F.min("capture").alias("capture")), "captures")
+    left = stored(others.select("record_id").join(known, "record_id", "left_anti").distinct(), "left")
+    if left.isEmpty():
+        return known
     links = stored(named.union(named.select(F.col("other").alias("record_id"), F.col("record_id").alias("other"))).distinct(), "links")
-    new, all_known = known, known
+    new = known
     while True:
-        found = links.join(new.withColumnRenamed("record_id", "other"), "other").groupBy("record_id").agg(F.min("capture").alias("capture"))
-        new = stored(found.join(all_known.select("record_id"), "record_id", "left_anti"), "linked")
+        found = links.join(left, "record_id", "left_semi").join(new.withColumnRenamed("record_id", "other"), "other")
+        new = stored(found.groupBy("record_id").agg(F.min("capture").alias("capture")), "linked")
         if new.isEmpty():
-            return all_known
-        all_known = all_known.union(new)
+            return known
+        known = known.unionByName(new)
+        left = stored(left.join(new, "record_id", "left_anti"), "left")
 
 
 def assemble(records: DataFrame) -> DataFrame:
