@@ -1,6 +1,6 @@
 """Training, evaluation and persistence with ``pyspark.ml`` (trees train on executors).
 
-Decisions (see README): the imputer is fitted on the training rows only; the
+Decisions (see README): the imputer takes exact medians of the training rows only; the
 split is a hash bucket of the id (stable under repartitioning, unlike
 ``randomSplit``); boosted trees are Spark's ``GBTRegressor`` (no L1/L2 terms).
 """
@@ -11,11 +11,15 @@ import json
 import os
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark import keyword_only
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.param.shared import HasInputCols, HasOutputCols
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,6 +66,42 @@ def standardize(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None = N
 
 # ---------------------------------------------------------------- models
 
+class MedianImputer(Estimator, HasInputCols, HasOutputCols, DefaultParamsReadable, DefaultParamsWritable):
+    """Null and NaN become the column's exact interpolated median (``scoring.exact_medians``; Spark's
+    own imputer takes an approximate one). A column without values stays null."""
+
+    @keyword_only
+    def __init__(self, *, inputCols: list[str] | None = None, outputCols: list[str] | None = None):
+        super().__init__()
+        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
+
+    def _fit(self, dataset: DataFrame) -> MedianImputerModel:
+        from turfline.operators.scoring import exact_medians
+        cols = self.getInputCols()
+        medians = exact_medians(dataset.select([F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in cols]), cols)
+        values = [float("nan") if medians[c] is None else medians[c] for c in cols]
+        return MedianImputerModel(inputCols=cols, outputCols=self.getOutputCols(), medians=values)
+
+
+class MedianImputerModel(Model, HasInputCols, HasOutputCols, DefaultParamsReadable, DefaultParamsWritable):
+    """A fitted ``MedianImputer``; saved with its medians (NaN: the column had no values)."""
+
+    medians = Param(Params._dummy(), "medians", "the median of each input column", TypeConverters.toListFloat)
+
+    @keyword_only
+    def __init__(self, *, inputCols: list[str] | None = None, outputCols: list[str] | None = None, medians: list[float] | None = None):
+        super().__init__()
+        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        filled = {}
+        for c, out, median in zip(self.getInputCols(), self.getOutputCols(), self.getOrDefault(self.medians)):
+            value = F.nanvl(F.col(c).cast("double"), F.lit(None))
+            filled[out] = value if median != median else F.coalesce(value, F.lit(median))
+        return dataset.withColumns(filled)
+
+
+
 def _regressor(kind: str, label: str, **overrides):
     if kind == "RandomForest":
         params = {**K.RF_PARAMS, **overrides}
@@ -77,7 +117,7 @@ def build_pipeline(kind: str, feature_cols: Sequence[str] = K.FEATURE_COLS,
     """Median imputer -> assembler -> z-score -> tree ensemble."""
     imp_out = [f"_imp_{c}" for c in feature_cols]
     stages = [
-        Imputer(inputCols=list(feature_cols), outputCols=imp_out, strategy="median"),
+        MedianImputer(inputCols=list(feature_cols), outputCols=imp_out),
         VectorAssembler(inputCols=imp_out, outputCol="raw_features", handleInvalid="keep"),
         StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
         _regressor(kind, label, **overrides),
@@ -179,6 +219,17 @@ def load_bundle(spark: SparkSession, path: str) -> tuple[PipelineModel, DataFram
     return PipelineModel.load(os.path.join(path, "pipeline")), spark.read.parquet(os.path.join(path, "meta"))
 
 
+def predictions_from(bundle: str, features: DataFrame) -> DataFrame:
+    """id, raw_pred: what the stored model predicts for feature rows (not clipped or rounded)."""
+    model, _ = load_bundle(features.sparkSession, bundle)
+    return model.transform(prepare(features)).select("id", F.col("prediction").alias("raw_pred"))
+
+
+def most_important(importances: DataFrame, n: int = 12) -> list[str]:
+    """The n most important features, most important first (ties by name)."""
+    return [r["feature"] for r in importances.orderBy(F.col("importance").desc(), "feature").limit(n).collect()]
+
+
 def report_frame(metrics: DataFrame, importances: DataFrame, features: DataFrame,
                  cv: DataFrame | None = None) -> DataFrame:
     """One nested row: best model, metrics rounded to 4, top-10 features, row counts."""

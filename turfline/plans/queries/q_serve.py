@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from turfline import constants as K
 from turfline.operators import answer as AN
+from turfline.operators import features as FT
 from turfline.operators import index as IX
+from turfline.operators import ml as ML
+from turfline.operators import upsert as UP
 from turfline.operators.windows import last_n_turns
 from turfline.plans.catalog import register
+from turfline.plans.queries.q_features import _inputs
+from turfline.plans.queries.q_ml import trained_one
 from turfline.plans.queries.q_scoring import ADVICE_SQL_CASE
+from turfline.session import stored
 from turfline.sources import fixtures as FX
 from turfline.sources.segments import SegmentStore
 from turfline.streaming.jobs import run_dir
@@ -67,17 +75,38 @@ def q_assemble_prompt(spark, sf):
         "query_id", "n_context", F.size("messages").alias("n_messages"), "prompt")
 
 
+def _predicted_players(spark, sf):
+    """The dictionary's players with the predictions of a stored model: the k-th name in the table's order
+    stands for the k-th feature row."""
+    key = (spark.sparkContext.applicationId, "bundle", sf)
+    if key not in _STORED:
+        model, metrics = trained_one(spark, sf, "RandomForest")
+        _STORED[key] = ML.save_bundle(model, metrics, "RandomForest", bundle=f"serving-{uuid.uuid4().hex}")
+    wide = stored(FT.feature_frame(*_inputs(spark, sf)), "wide")
+    predictions = ML.predictions_from(_STORED[key], wide)
+    status = wide.select("id", "position_name", "has_injury_news", "is_available").join(predictions, "id")
+    numbered = UP.assign_row_ids(status, ["id"], id_col="_k").drop("id")
+    names = UP.assign_row_ids(FX.fx_names(spark, sf), ["id"], id_col="_k")
+    return names.join(numbered, "_k").drop("_k")
+
+
 def _routed(spark, sf):
     """The answers of all questions, written once for an application and folder."""
     key = (spark.sparkContext.applicationId, "routed", sf)
     if key not in _STORED:
-        routed = AN.route_batch(FX.fx_queries(spark, sf), _index(spark, sf), AN.serving_players(FX.fx_names(spark, sf)))
+        routed = AN.route_batch(FX.fx_queries(spark, sf), _index(spark, sf), _predicted_players(spark, sf))
         base = run_dir(spark, "routed")
         routed.write.parquet(base)
         _STORED[key] = base
     return spark.read.parquet(_STORED[key])
 
 
+def forget_answers() -> None:
+    """The next query answers anew (the stored index and model stay)."""
+    for key in [k for k in _STORED if k[1] == "routed"]:
+        del _STORED[key]
+
+
 @register("route_batch")
 def q_route_batch(spark, sf):
     r = _routed(spark, sf)

@@ -105,25 +105,27 @@ def ingest_fixtures(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, bad
 
 
-RSS_SCHEMA = ("channel struct<item: array<struct<title: string, link: string, guid: string, "
-              "description: string, summary: string, content: string>>>")
-ATOM_SCHEMA = ("entry array<struct<title: string, link: struct<_href: string>, id: string, "
+FEED_SCHEMA = ("channel struct<item: array<struct<title: string, link: string, guid: string, "
+               "description: string, summary: string, content: string>>>, "
+               "entry array<struct<title: string, link: struct<_href: string>, id: string, "
                "summary: string, content: string, description: string>>")
 
 
 def parse_feed_items(feeds: DataFrame, source_col: str = "source") -> DataFrame:
     """Feed XML -> (source, title, url, body). RSS ``item`` and Atom ``entry`` are
-    both read. url = link (Atom: the href), else guid, else Atom id; body = the
+    both read, by one parse. url = link (Atom: the href), else guid, else Atom id; body = the
     first non-empty of description, summary, content with tags stripped; only
     items with a title and a url are kept."""
-    rss = feeds.select(source_col, F.inline(F.from_xml("value", RSS_SCHEMA).getField("channel").getField("item")))
-    rss = rss.select(source_col, "title", F.coalesce(blank_to_null("link"), blank_to_null("guid")).alias("url"),
-                     "description", "summary", "content")
-    atom = feeds.select(source_col, F.inline(F.from_xml("value", ATOM_SCHEMA).getField("entry")))
-    atom = atom.select(source_col, "title",
-                       F.coalesce(blank_to_null(F.col("link").getField("_href")), blank_to_null("id")).alias("url"),
-                       "description", "summary", "content")
-    items = rss.unionByName(atom)
+    parsed = feeds.select(source_col, F.from_xml("value", FEED_SCHEMA).alias("_doc"))
+
+    def item(x: F.Column, link: F.Column, other: F.Column) -> F.Column:
+        return F.struct(x["title"].alias("title"), F.coalesce(blank_to_null(link), blank_to_null(other)).alias("url"),
+                        *[x[c].alias(c) for c in ("description", "summary", "content")])
+
+    none = F.array().cast("array<struct<title: string, url: string, description: string, summary: string, content: string>>")
+    rss = F.transform(F.col("_doc.channel.item"), lambda x: item(x, x["link"], x["guid"]))
+    atom = F.transform(F.col("_doc.entry"), lambda x: item(x, x["link"]["_href"], x["id"]))
+    items = parsed.select(source_col, F.inline(F.concat(F.coalesce(rss, none), F.coalesce(atom, none))))
     raw_body = F.coalesce(blank_to_null("description"), blank_to_null("summary"), blank_to_null("content"),
                           F.lit(""))
     out = items.select(source_col, F.trim("title").alias("title"), F.trim("url").alias("url"),
