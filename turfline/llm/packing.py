@@ -5,6 +5,7 @@ from __future__ import annotations
 import bisect
 import os
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 from turfline.llm.store import global_rank, map_arrow, stored
 from turfline.llm.words import ragged_range, text_slices
 
-#: Distinct words whose ids a Python worker remembers (about 200 bytes each); it starts anew beyond.
-CACHE_WORDS = 400_000
+#: Distinct words whose ids a Python worker remembers (about 200 bytes each); beyond, it keeps those it met again.
+CACHE_WORDS = 500_000
 #: Distinct words that are encoded as one text, with a mark between them.
 JOINED, MARK = 200, "0"
 #: Bytes of text that are encoded at once.
@@ -42,6 +43,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}  # word -> its ids as unsigned 32-bit numbers
+        self.again: set[str] = set()  # words met after the texts they were learned from
         self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
 
     def learn(self, words: list[str]) -> None:
@@ -70,13 +72,16 @@ class WordEncoder:
         if isinstance(words, pa.ChunkedArray):
             words = words.combine_chunks()
         distinct = words.dictionary.to_pylist()
-        new = [w for w in distinct if w not in self.known]
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known, new = {}, distinct
+        old = self.known.keys() & distinct
+        new = [w for w in distinct if w not in old]
+        self.again |= old
         self.learn(new)
         each = [self.known[w] for w in distinct]
         sizes = np.fromiter(map(len, each), dtype=np.int64, count=len(each)) // 4
         pool = np.frombuffer(b"".join(each), dtype=np.uint32)
+        if len(self.known) > CACHE_WORDS:
+            kept = self.again if len(self.again) <= CACHE_WORDS // 2 else old
+            self.known, self.again = {w: self.known[w] for w in kept}, set()
         index = words.indices.to_numpy(zero_copy_only=False)
         counts = sizes[index] if len(index) else np.zeros(0, np.int64)
         ids = pool[ragged_range((np.cumsum(sizes) - sizes)[index], counts)] if len(index) else pool
@@ -85,6 +90,13 @@ class WordEncoder:
         return ids, np.diff(before[ends])
 
 
+@lru_cache(2)
+def encoder_of(path: str) -> WordEncoder:
+    """One encoder for a Python worker, which later tasks find as they left it."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores already
+    return WordEncoder(path)
+
+
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
 #: Pieces in an Arrow batch at most.
 PIECE_ROWS = 4_096
@@ -96,9 +108,8 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1,
     path = tokenizer or default_tokenizer()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores already
-        encoder = WordEncoder(path)
-        for batch in batches:
+        encoder = encoder_of(path)
+        for batch in joined(batches, SLICE):
             texts = batch.column(1).fill_null("")
             for first, rows, _, _ in text_slices(texts, SLICE):
                 ids, counts = encoder.ids(texts.slice(first, rows))
@@ -128,6 +139,19 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1,
     return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), cut, PIECES)
 
 
+def joined(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they have ``size`` bytes."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.nbytes
+        if n >= size:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def pack_histogram(counts: dict[int, int], most: int = 2048) -> list[tuple[int, int, int, int, int]]:
     """Packs lengths with these counts, longest first, each into the pack with the most room.
 
