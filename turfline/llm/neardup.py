@@ -6,7 +6,7 @@ are compared a batch at a time and given up as soon as the posterior probability
 of reaching the threshold falls under the miss probability; the rest are verified
 on full shingle sets. Links decide components alone, so a bucket first compares
 its members with one pivot; only buckets that still hold several components have
-their other pairs compared, in blocks, with pairs inside a component left out.
+their other pairs compared and verified, in blocks, with pairs inside a component left out.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 #: Signature values compared before each decision, and the chance to lose a pair at the threshold.
 BATCH, MISS = 32, 1e-6
-#: Members of a bucket in a block.
-BLOCK = 512
+#: Members of a bucket in a block, and about the shingles that they have together at most.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 21
 #: Rounds of pivots before the blocks.
 PIVOT_ROUNDS = 2
 
@@ -147,13 +147,24 @@ def _pruned(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return map_arrow(pairs.join(a, "a").join(b, "b").select("a", "b", "_x", "_y"), prune, "a long, b long")
 
 
+def _texts(wanted: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """id, text of the classes ``wanted``: that of their first row. ``rows`` has the texts of all rows."""
+    heads = classes.join(wanted, "id", "left_semi").select("id", "doc_id", "_text")
+    texts = rows.join(heads, F.col("_doc").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("_text"))).select("id", "text")
+    return texts.groupBy("id").agg(F.first("text").alias("text"))
+
+
+def linked(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets of shingles (ascending) reach the threshold."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= THRESHOLD * (len(x) + len(y) - both)
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs a, b whose full sets reach the threshold; ``rows`` has the texts of the classes' first rows."""
+    """The pairs a, b whose full sets reach the threshold."""
     pairs = stored(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    heads = classes.join(wanted, "id", "left_semi").select("id", "doc_id", "_text")
-    texts = rows.join(heads, F.col("_doc").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("_text"))).select("id", "text")
-    texts = stored(texts.groupBy("id").agg(F.first("text").alias("text")), "texts")
+    texts = stored(_texts(wanted, classes, rows), "texts")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
@@ -170,8 +181,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFram
             out = []
             for a, b, s, t in zip(*[c.to_pylist() for c in batch.columns]):
                 y, x = of(b, t), of(a, s)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= THRESHOLD * (len(x) + len(y) - both):
+                if linked(x, y):
                     out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
@@ -180,43 +190,97 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFram
     return stored(map_arrow(pairs.join(x, "a").join(y, "b").select("a", "b", "_s", "_t"), verify, "a long, b long"), "links")
 
 
-def _block_pairs(members: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Plausible pairs of different components in buckets ``key`` with members ``id, root``.
+def _sized(texts: DataFrame) -> DataFrame:
+    """id and _set (hashes of its shingles, ascending, 8 bytes each) of texts ``id, text``."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, rows, data, offsets in text_slices(batch.column(1)):
+                grams, counts = shingle_sets(data, offsets)
+                ends = np.concatenate([[0], np.cumsum(counts)])
+                sets = pa.array([grams[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, rows), sets], names=["id", "_set"])
+
+    return map_arrow(texts.select("id", "text"), measure, "id long, _set binary")
+
 
-    Members are ranked over all buckets by bucket and component and cut into blocks. Pairs of
-    blocks that share a bucket are compared unless both lie in one component.
+def _block_links(members: DataFrame, sigs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """Links between different components in buckets ``key`` with members ``id, root``.
+
+    Members are ranked over all buckets by bucket, size class (the power of two below the number of
+    shingles) and component, and cut into blocks of at most ``BLOCK`` members and about ``BLOCK_SHINGLES``
+    shingles. Pairs of blocks that share a bucket are compared unless both lie in one component or
+    their sizes rule out a link: first by signatures, which leaves the members with a plausible partner,
+    then by the full sets of these, which each block brings once. Only links that join two components leave
+    a task, fewer than its members, however many pairs are plausible.
     """
     mixed = members.groupBy("key").agg(F.min("root").alias("_l"), F.max("root").alias("_h")).where("_l < _h").select("key")
-    ranked = global_rank(members.join(mixed, "key", "left_semi"), [F.col("key"), F.col("root"), F.col("id")])
-    ranked = stored(ranked.withColumn("block", F.expr(f"_rank div {BLOCK}L")).drop("_rank").join(sigs, "id"), "blocks")
+    members = members.join(mixed, "key", "left_semi").select("key", "root", "id")
+    members = members.join(classes.select("id", "n", F.floor(F.log2("n")).cast("int").alias("class")), "id")
+    ranked = global_rank(members, [F.col("key"), F.col("class"), F.col("root"), F.col("id")])
+    most = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.expr(f"shiftright({BLOCK_SHINGLES}, class)")))
+    ranked = ranked.withColumn("block", F.struct("class", F.floor(F.col("_rank") / most).alias("no"))).drop("_rank")
+    ranked = stored(ranked, "blocks")
     parts = ranked.groupBy("key", "block").agg(F.min("root").alias("_l"), F.max("root").alias("_h"))
     left = parts.select("key", F.col("block").alias("x"), F.col("_l").alias("_xl"), F.col("_h").alias("_xh"))
     right = parts.select("key", F.col("block").alias("y"), F.col("_l").alias("_yl"), F.col("_h").alias("_yh"))
-    work = left.join(right, "key").where("x <= y and not (_xl = _yh and _xh = _yl and _xl = _xh)").select("key", "x", "y")
+    work = left.join(right, "key").where("x <= y and y.class - x.class <= 1 and not (_xl = _yh and _xh = _yl and _xl = _xh)")
     jobs = work.select("key", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
-    rows = jobs.join(ranked, ["key", "block"])
+    jobs = jobs.join(ranked.select("key", "block", "id", "root", "n"), ["key", "block"]).select(
+        F.struct("key", "x", "y").alias("job"), "id", "root", "n", (F.col("block") == F.col("x")).alias("left"), (F.col("block") == F.col("y")).alias("right"))
 
-    def compare(table: pa.Table) -> pa.Table:
-        ids, root, block = (table.column(c).to_numpy() for c in ("id", "root", "block"))
+    def candidates(table: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+        """Each left row with the right rows that may be linked with it and are in another component."""
+        ids, roots, sizes = (table.column(c).to_numpy() for c in ("id", "root", "n"))
         sig = _signature_rows(table.column("_sig").combine_chunks())
-        x, y = int(table.column("x")[0].as_py()), int(table.column("y")[0].as_py())
-        left_rows, right_rows = np.flatnonzero(block == x), np.flatnonzero(block == y)
-        found = []
-        for i in left_rows:
-            others = right_rows[(root[right_rows] != root[i]) & ((ids[right_rows] > ids[i]) if x == y else True)]
+        lefts, rights = (np.flatnonzero(table.column(c).to_numpy()) for c in ("left", "right"))
+        same = bool(np.array_equal(lefts, rights))
+        for i in lefts:
+            others = rights[ids[rights] > ids[i]] if same else rights
+            fits = 100 * np.minimum(sizes[others], sizes[i]) >= THRESHOLD * np.maximum(sizes[others], sizes[i])
+            others = others[(roots[others] != roots[i]) & fits]
+            others = others[plausible(np.broadcast_to(sig[i], (len(others), HASHES)), sig[others])]
             if len(others):
-                keep = others[plausible(np.broadcast_to(sig[i], (len(others), HASHES)), sig[others])]
-                found += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in keep]
-        return pa.table([pa.array([int(p[k]) for p in found], pa.int64()) for k in (0, 1)], names=["b", "a"]).select(["a", "b"])
+                yield i, others[np.argsort(-(sig[others] == sig[i]).sum(axis=1), kind="stable")]
+
+    def with_partner(table: pa.Table) -> pa.Table:
+        marked = np.zeros(table.num_rows, dtype=bool)
+        for i, others in candidates(table):
+            marked[i] = marked[others] = True
+        return table.select(names).filter(pa.array(marked))
+
+    names = jobs.columns
+    survivors = stored(jobs.join(sigs, "id").groupBy("job").applyInArrow(lambda t: with_partner(t), jobs.schema), "survivors")
+    sets = _sized(_texts(survivors.select("id").distinct(), classes, rows)).select("id", "_set")
+
+    def link(table: pa.Table) -> pa.Table:
+        ids, roots = table.column("id").to_numpy(), table.column("root").to_numpy()
+        grams = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in table.column("_set").combine_chunks()]
+        to = {int(r): int(r) for r in roots}
+
+        def root(r: int) -> int:
+            while to[r] != r:
+                to[r] = to[to[r]]
+                r = to[r]
+            return r
+
+        found = []
+        for i, others in candidates(table):
+            for j in others:
+                if root(int(roots[j])) != root(int(roots[i])) and linked(grams[i], grams[j]):
+                    found.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
+                    to[root(int(roots[j]))] = root(int(roots[i]))
+        return pa.table([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return rows.groupBy("key", "x", "y").applyInArrow(compare, "a long, b long").distinct()
+    full = survivors.join(sigs, "id").join(sets, "id")
+    return stored(full.groupBy("job").applyInArrow(lambda t: link(t), "a long, b long").distinct(), "links")
 
 
 def _components(docs: DataFrame) -> DataFrame:
     sets = stored(with_sets(docs), "sets")
-    classed = sets.where(F.col("_set").isNotNull()).select(F.xxhash64("_set").alias("id"), "doc_id", "_text", "_sig")
-    classes = stored(classed.groupBy("id").agg(F.min(F.struct("doc_id", "_text")).alias("_r"), F.first("_sig").alias("_sig"))
-                     .select("id", "_r.*", "_sig"), "classes")
+    classed = sets.where(F.col("_set").isNotNull()).select(F.xxhash64("_set").alias("id"), "doc_id", "_text", F.col("n_shingles").alias("n"), "_sig")
+    classes = stored(classed.groupBy("id").agg(F.min(F.struct("doc_id", "_text")).alias("_r"), F.max("n").alias("n"), F.first("_sig").alias("_sig"))
+                     .select("id", "_r.*", "n", "_sig"), "classes")
     roots = components(_class_links(classes, docs))
     # classes by component, then rows by class: neither gathers the rows of a class
     rooted = classes.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -259,15 +323,13 @@ def _class_links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     members = bands.withColumn("root", F.col("id"))
     for turn in range(PIVOT_ROUNDS + 1):
         if turn == PIVOT_ROUNDS:
-            pairs = _block_pairs(members, sigs)
+            links = links.unionByName(_block_links(members, sigs, classes, rows))
         else:
             heads = members.groupBy("key", "root").agg(F.min("id").alias("a")) if turn else members.select("key", "root", F.col("id").alias("a"))
             pivots = members.groupBy("key").agg(F.min(F.struct("root", "id")).alias("_p"))
             pairs = heads.join(pivots, "key").where("root <> _p.root").groupBy("a").agg(F.min("_p.id").alias("b")) if not turn else \
                 heads.join(pivots, "key").where("root <> _p.root").select("a", F.col("_p.id").alias("b")).distinct()
-            pairs = _pruned(pairs, sigs)
-        links = links.unionByName(_verified(pairs, classes, rows))
-        if turn < PIVOT_ROUNDS:
+            links = links.unionByName(_verified(_pruned(pairs, sigs), classes, rows))
             roots = components(links)
             members = bands.join(roots, "id", "left").select("id", "key", F.coalesce("root", "id").alias("root"))
             members = stored(members, "members")
