@@ -17,11 +17,13 @@ from turfline.llm.store import global_rank, map_arrow, stored
 from turfline.llm.words import ragged_range, text_slices
 
 #: Distinct words whose ids a Python worker remembers (about 200 bytes each); beyond, it keeps those it met again.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 400_000
 #: Distinct words that are encoded as one text, with a mark between them.
 JOINED, MARK = 200, "0"
 #: Bytes of text that are encoded at once.
-SLICE = 1 << 23
+SLICE = 6 << 20
+#: Texts of joined words that are encoded at once: their encodings take far more memory than their ids.
+ENCODED = 64
 
 
 def default_tokenizer() -> str:
@@ -51,9 +53,8 @@ class WordEncoder:
         text whose parts are not as many as its words, are encoded one by one."""
         plain = [w for w in words if MARK not in w] if len(self.mark) == 1 else []
         runs = [plain[i:i + JOINED] for i in range(0, len(plain), JOINED)]
-        texts = [f" {MARK} ".join(run) for run in runs]
         alone = [w for w in words if MARK in w] if len(self.mark) == 1 else words
-        for run, encoding in zip(runs, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+        for run, encoding in self._encoded(runs):
             ids = np.array(encoding.ids, dtype=np.uint32)
             marks = np.flatnonzero(ids == self.mark[0])
             if len(marks) != len(run) - 1:
@@ -62,9 +63,15 @@ class WordEncoder:
             raw = ids.tobytes()
             starts, ends = [0, *(4 * (marks + 1)).tolist()], [*(4 * marks).tolist(), len(raw)]
             self.known.update((w, raw[a:b]) for w, a, b in zip(run, starts, ends))
-        for w, encoding in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
+        for (w,), encoding in self._encoded([[w] for w in alone]):
             self.known[w] = np.array(encoding.ids, dtype=np.uint32).tobytes()
 
+    def _encoded(self, runs: list[list[str]]) -> Iterator[tuple]:
+        """Each run of words with the encoding of its words, the mark between them."""
+        for i in range(0, len(runs), ENCODED):
+            some = runs[i:i + ENCODED]
+            yield from zip(some, self.tokenizer.encode_batch_fast([f" {MARK} ".join(run) for run in some], add_special_tokens=False))
+
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and how many each has."""
         lists = pc.ascii_split_whitespace(texts)
