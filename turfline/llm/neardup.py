@@ -179,10 +179,11 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFram
 
         for batch in batches:
             out = []
-            for a, b, s, t in zip(*[c.to_pylist() for c in batch.columns]):
-                y, x = of(b, t), of(a, s)
-                if linked(x, y):
-                    out.append((a, b))
+            for at in range(0, batch.num_rows, 32):  # so many pairs' texts at once
+                for a, b, s, t in zip(*[c.to_pylist() for c in batch.slice(at, 32).columns]):
+                    y, x = of(b, t), of(a, s)
+                    if linked(x, y):
+                        out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     x, y = texts.select(F.col("id").alias("a"), F.col("text").alias("_s")), texts.select(F.col("id").alias("b"), F.col("text").alias("_t"))
@@ -204,19 +205,11 @@ def _sized(texts: DataFrame) -> DataFrame:
     return map_arrow(texts.select("id", "text"), measure, "id long, _set binary")
 
 
-def _block_links(members: DataFrame, sigs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
-    """Links between different components in buckets ``key`` with members ``id, root``.
-
-    Members are ranked over all buckets by bucket, size class (the power of two below the number of
-    shingles) and component, and cut into blocks of at most ``BLOCK`` members and about ``BLOCK_SHINGLES``
-    shingles. Pairs of blocks that share a bucket are compared unless both lie in one component or
-    their sizes rule out a link: first by signatures, which leaves the members with a plausible partner,
-    then by the full sets of these, which each block brings once. Only links that join two components leave
-    a task, fewer than its members, however many pairs are plausible.
-    """
+def _block_jobs(members: DataFrame) -> DataFrame:
+    """Members ``id, root, n, class`` of buckets ``key`` with several components, dealt to jobs of two blocks: each
+    with the job and whether it is in its ``left`` and ``right`` block. Blocks without a possible link make no job."""
     mixed = members.groupBy("key").agg(F.min("root").alias("_l"), F.max("root").alias("_h")).where("_l < _h").select("key")
-    members = members.join(mixed, "key", "left_semi").select("key", "root", "id")
-    members = members.join(classes.select("id", "n", F.floor(F.log2("n")).cast("int").alias("class")), "id")
+    members = members.join(mixed, "key", "left_semi").select("key", "root", "id", "n", "class")
     ranked = global_rank(members, [F.col("key"), F.col("class"), F.col("root"), F.col("id")])
     most = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.expr(f"shiftright({BLOCK_SHINGLES}, class)")))
     ranked = ranked.withColumn("block", F.struct("class", F.floor(F.col("_rank") / most).alias("no"))).drop("_rank")
@@ -226,26 +219,57 @@ def _block_links(members: DataFrame, sigs: DataFrame, classes: DataFrame, rows:
     right = parts.select("key", F.col("block").alias("y"), F.col("_l").alias("_yl"), F.col("_h").alias("_yh"))
     work = left.join(right, "key").where("x <= y and y.class - x.class <= 1 and not (_xl = _yh and _xh = _yl and _xl = _xh)")
     jobs = work.select("key", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
-    jobs = jobs.join(ranked.select("key", "block", "id", "root", "n"), ["key", "block"]).select(
+    return jobs.join(ranked.select("key", "block", "id", "root", "n"), ["key", "block"]).select(
         F.struct("key", "x", "y").alias("job"), "id", "root", "n", (F.col("block") == F.col("x")).alias("left"), (F.col("block") == F.col("y")).alias("right"))
 
-    def candidates(table: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
-        """Each left row with the right rows that may be linked with it and are in another component."""
-        ids, roots, sizes = (table.column(c).to_numpy() for c in ("id", "root", "n"))
-        sig = _signature_rows(table.column("_sig").combine_chunks())
-        lefts, rights = (np.flatnonzero(table.column(c).to_numpy()) for c in ("left", "right"))
-        same = bool(np.array_equal(lefts, rights))
-        for i in lefts:
-            others = rights[ids[rights] > ids[i]] if same else rights
-            fits = 100 * np.minimum(sizes[others], sizes[i]) >= THRESHOLD * np.maximum(sizes[others], sizes[i])
-            others = others[(roots[others] != roots[i]) & fits]
-            others = others[plausible(np.broadcast_to(sig[i], (len(others), HASHES)), sig[others])]
-            if len(others):
-                yield i, others[np.argsort(-(sig[others] == sig[i]).sum(axis=1), kind="stable")]
+
+def _candidates(table: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """Each left row of a job with the right rows that may be linked with it and are in another component."""
+    ids, roots, sizes = (table.column(c).to_numpy() for c in ("id", "root", "n"))
+    sig = _signature_rows(table.column("_sig").combine_chunks())
+    lefts, rights = (np.flatnonzero(table.column(c).to_numpy()) for c in ("left", "right"))
+    same = bool(np.array_equal(lefts, rights))
+    for i in lefts:
+        others = rights[ids[rights] > ids[i]] if same else rights
+        fits = 100 * np.minimum(sizes[others], sizes[i]) >= THRESHOLD * np.maximum(sizes[others], sizes[i])
+        others = others[(roots[others] != roots[i]) & fits]
+        others = others[plausible(np.broadcast_to(sig[i], (len(others), HASHES)), sig[others])]
+        if len(others):
+            yield i, others[np.argsort(-(sig[others] == sig[i]).sum(axis=1), kind="stable")]
+
+
+def _pair_table(pairs: list[tuple[int, int]]) -> pa.Table:
+    return pa.table([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def _block_pairs(members: DataFrame, sigs: DataFrame) -> DataFrame:
+    """All pairs a, b of different components in buckets ``key`` with members ``id, root`` whose signatures leave
+    a link plausible, whatever their sizes. (``_block_links`` goes through the same jobs and emits links only.)"""
+
+    def pairs(table: pa.Table) -> pa.Table:
+        ids = table.column("id").to_numpy()
+        return _pair_table([(int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))) for i, others in _candidates(table) for j in others])
+
+    jobs = _block_jobs(members.select("key", "root", "id", F.lit(1).cast("long").alias("n"), F.lit(0).alias("class")))
+    return jobs.join(sigs, "id").groupBy("job").applyInArrow(lambda t: pairs(t), "a long, b long").distinct()
+
+
+def _block_links(members: DataFrame, sigs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """Links between different components in buckets ``key`` with members ``id, root``.
+
+    Members are ranked over all buckets by bucket, size class (the power of two below the number of
+    shingles) and component, and cut into blocks of at most ``BLOCK`` members and about ``BLOCK_SHINGLES``
+    shingles. Pairs of blocks that share a bucket are compared unless both lie in one component or
+    their sizes rule out a link: first by signatures, which leaves the members with a plausible partner,
+    then by the full sets of these, which each block brings once. Only links that join two components leave
+    a task, fewer than its members, however many pairs are plausible.
+    """
+    sized = members.join(classes.select("id", "n", F.floor(F.log2("n")).cast("int").alias("class")), "id")
+    jobs = _block_jobs(sized)
 
     def with_partner(table: pa.Table) -> pa.Table:
         marked = np.zeros(table.num_rows, dtype=bool)
-        for i, others in candidates(table):
+        for i, others in _candidates(table):
             marked[i] = marked[others] = True
         return table.select(names).filter(pa.array(marked))
 
@@ -265,12 +289,12 @@ def _block_links(members: DataFrame, sigs: DataFrame, classes: DataFrame, rows:
             return r
 
         found = []
-        for i, others in candidates(table):
+        for i, others in _candidates(table):
             for j in others:
                 if root(int(roots[j])) != root(int(roots[i])) and linked(grams[i], grams[j]):
                     found.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
                     to[root(int(roots[j]))] = root(int(roots[i]))
-        return pa.table([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        return _pair_table(found)
 
     full = survivors.join(sigs, "id").join(sets, "id")
     return stored(full.groupBy("job").applyInArrow(lambda t: link(t), "a long, b long").distinct(), "links")

@@ -7,13 +7,11 @@ back, so a lost executor costs at most the stage that is running.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from turfline.session import ensure_checkpoint_dir, ship_package
+from turfline.session import ensure_checkpoint_dir, map_arrow  # noqa: F401  (map_arrow: for the operators)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -21,19 +19,6 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
 
 
-#: Rows in an Arrow batch, where the session has Spark's default: whole texts are large rows.
-BATCH_ROWS = 1_000
-
-
-def map_arrow(df: DataFrame, step: Callable, schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` with this package shipped to the Python workers first, and with batches that
-    whole texts do not make large (the session keeps that setting)."""
-    ship_package(df.sparkSession)
-    if df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(step, schema)
-
-
 def stored(df: DataFrame, name: str = "table", compression: str | None = None) -> DataFrame:
     """``df`` written to the shared folder and read back (each caller gets its own path)."""
     spark = df.sparkSession
