@@ -4,7 +4,8 @@ Pages are paired by URL path within their host. A page becomes lines, one for ea
 block element. Lines outside an article element are aligned with the paired page's
 by longest common subsequence, and shared lines are deleted. Elements that are never
 main text (menus, forms, adverts, ...) are left out by tag, class or id; lines of an
-article element are not differenced, since a copied article would go with them.
+article element are not differenced, since a copied article would go with them. All other lines
+that the paired page lacks stay; tags decide about them only where there is no page to pair with.
 """
 
 from __future__ import annotations
@@ -138,6 +139,15 @@ def unshared(own: list[str], other: list[str]) -> list[bool]:
     return left
 
 
+def unlike(lines: list[str], own: list[bool], other: list[str] | None) -> list[str]:
+    """The lines of the article and, of those outside it, the ones that the other page lacks; without
+    another page the lines of the article, or all if there is none."""
+    if other is None:
+        return [t for t, mine in zip(lines, own) if mine] if any(own) else lines
+    kept = iter(unshared([t for t, mine in zip(lines, own) if not mine], other))
+    return [t for t, mine in zip(lines, own) if mine or next(kept)]
+
+
 #: Rows of a run of ranks that one task goes through.
 RANKS = 1024
 
@@ -165,8 +175,10 @@ def _other_ranks(ranked: DataFrame) -> DataFrame:
 def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url, text, n_chars for each row; blocks are joined by an empty line.
 
-    A null or empty html gives an empty text. A page whose host has no other page, and one with a
-    null url, is not differenced, nor are lines of article and main elements. The nearest page is the
+    A null or empty html gives an empty text. Every page is differenced with its nearest page: of its visible
+    lines outside the article element (outside main, if it has no article), those on the common subsequence go
+    and the others stay, in page order with the article's. A page whose host has no other page, and one with a
+    null url, is not differenced; of the article, main, or else all lines are its text. The nearest page is the
     neighbour in path order with the longer common path, the next one if both are as near; ties in
     path go by page_id, then by a hash of the lines. Neighbours with equal lines are passed over, so
     copies do not delete each other. All visible lines of the nearest page count, also those outside
@@ -176,26 +188,26 @@ def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            levels, texts, own = [], [], []
+            open_, texts, own = [], [], []
             for page in batch.column(2).to_pylist():
                 got = page_lines(page)
                 best = max((n for n, _ in got), default=0)
-                levels.append(best)
                 texts.append([t for _, t in got])
-                own.append([n == best for n, _ in got])
+                own.append([n == best > 0 for n, _ in got])
+                open_.append(not all(own[-1]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(levels, pa.int32()), pa.array(texts, pa.list_(pa.string())), pa.array(own, pa.list_(pa.bool_()))],
-                names=["page_id", "url", "level", "lines", "own"])
+                [batch.column(0), batch.column(1), pa.array(open_, pa.bool_()), pa.array(texts, pa.list_(pa.string())), pa.array(own, pa.list_(pa.bool_()))],
+                names=["page_id", "url", "open", "lines", "own"])
 
-    parsed = map_arrow(rows, lines, "page_id long, url string, level int, lines array<string>, own array<boolean>")
+    parsed = map_arrow(rows, lines, "page_id long, url string, open boolean, lines array<string>, own array<boolean>")
     host = F.lower(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1))
     path = F.regexp_extract("url", r"^(?:(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*)?([^?#]*)", 1)
     parsed = parsed.withColumns({"_host": host, "_path": path, "_hash": F.xxhash64("lines"), "_page": F.monotonically_increasing_id()})
     parsed = stored(parsed, "lines", compression="zstd")  # the lines are written once, and ranked without them
     order = [F.col("url").isNull(), F.coalesce("_host", F.lit("")), F.coalesce("_path", F.lit("")), F.col("page_id"), F.col("_hash")]
-    ranked = global_rank(parsed.select("_page", "page_id", "url", "level", "_host", "_path", "_hash"), order)
+    ranked = global_rank(parsed.select("_page", "page_id", "url", "open", "_host", "_path", "_hash"), order)
     # only what is differenced looks for a neighbour, and only its lines and its neighbour's are passed on
-    differenced = F.expr("level < 1 and url is not null")
+    differenced = F.expr("open and url is not null")
     loose = ranked.where(differenced)
     spots = ranked.where("url is not null").select("_rank", "_host", "_path")
     near = _other_ranks(ranked.select("_rank", "_host", "_hash"))
@@ -215,20 +227,20 @@ def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html
     pages_of = ranked.select("_rank", "_page")
     pairs = pairs.join(pages_of, "_rank").join(pages_of.select(F.col("_rank").alias("_other"), F.col("_page").alias("_beside")), "_other")
     pairs = stored(pairs.select("_page", "_beside"), "pairs")
-    best = F.filter("lines", lambda t, i: F.get("own", i)).alias("lines")  # of an article, of main, or all
+    best = F.when(F.exists("own", lambda x: x), F.filter("lines", lambda t, i: F.get("own", i))).otherwise(F.col("lines")).alias("lines")  # of an article, of main, or all
     whole = parsed.where(~F.coalesce(differenced, F.lit(False))).select("page_id", "url", best)
     alone = parsed.where(differenced)
     cut = alone.select("page_id", "url", best)
     if not pairs.isEmpty():
-        mine = alone.join(pairs, "_page", "left").select("page_id", "url", "lines", "_beside")
+        mine = alone.join(pairs, "_page", "left").select("page_id", "url", "lines", "own", "_beside")
         partners = parsed.join(pairs.select(F.col("_beside").alias("_page")).distinct(), "_page", "left_semi")
         paired = mine.join(partners.select(F.col("_page").alias("_beside"), F.col("lines").alias("_lines")), "_beside", "left")
 
         def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                kept = [[t for t, keep in zip(a, unshared(a, b or [])) if keep] for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+                kept = [unlike(*page) for page in zip(*[c.to_pylist() for c in batch.columns[2:]])]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(kept, pa.list_(pa.string()))], names=["page_id", "url", "lines"])
 
-        cut = map_arrow(paired.select("page_id", "url", "lines", "_lines"), difference, "page_id long, url string, lines array<string>")
+        cut = map_arrow(paired.select("page_id", "url", "lines", "own", "_lines"), difference, "page_id long, url string, lines array<string>")
     out = whole.unionByName(cut).withColumn("text", F.array_join("lines", "\n\n"))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
