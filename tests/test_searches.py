@@ -46,7 +46,8 @@ def test_searched_questions_keep_their_whole_conversation(spark, folder):
 
 
 def test_candidates_of_a_query_stay_together_in_a_join_that_turns_into_a_broadcast(spark):
-    """The join of candidates and queries is planned by sorting and runs as a broadcast join over local reads."""
+    """Planned by sorting, the join of candidates and queries may run as a broadcast join over local reads. (Seen
+    apart once, on a larger table; this small one did not show it before the grouped map either.)"""
     r = np.random.default_rng(3)
     vecs = {i: [float(x) for x in r.normal(size=4)] for i in range(400)}
     cands = spark.createDataFrame([(q, q * 10 + k, k + 1, vecs[(q + k) % 400]) for q in range(300) for k in range(10)],
