@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turfline.llm.components import components
-from turfline.llm.store import global_rank, map_arrow, stored
+from turfline.llm.store import few, global_rank, map_arrow, stored
 from turfline.llm.words import BYTE_VALUES, LOWER, find_words, gram_hashes, gram_starts, mix, span_hashes, text_slices
 
 WORDS = 5
@@ -33,6 +33,8 @@ HASHES = BANDS * ROWS
 BATCH, MISS = 32, 1e-6
 #: Members of a bucket in a block, and about the shingles that they have together at most.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 21
+#: Rows of a task that holds signatures, texts or pairs of texts, where a table is too small for all shuffle partitions.
+SIGNED, TEXTS, TEXT_PAIRS = 5_000, 1_000, 500
 #: Rounds of pivots before the blocks.
 PIVOT_ROUNDS = 2
 
@@ -134,8 +136,8 @@ def _signature_rows(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, HASHES)
 
 
-def _pruned(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """The pairs a, b whose signatures leave a link plausible."""
+def _pruned(pairs: DataFrame, sigs: DataFrame, rows: int) -> DataFrame:
+    """The pairs a, b, about ``rows``, whose signatures leave a link plausible."""
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,7 +146,8 @@ def _pruned(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
                 yield batch.select([0, 1]).take(keep)
 
     a, b = sigs.select(F.col("id").alias("a"), F.col("_sig").alias("_x")), sigs.select(F.col("id").alias("b"), F.col("_sig").alias("_y"))
-    return map_arrow(pairs.join(a, "a").join(b, "b").select("a", "b", "_x", "_y"), prune, "a long, b long")
+    signed = few(few(few(pairs, rows).join(a, "a"), rows, SIGNED).join(b, "b"), rows, SIGNED)
+    return map_arrow(signed.select("a", "b", "_x", "_y"), prune, "a long, b long")
 
 
 def _texts(wanted: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
@@ -160,11 +163,21 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * both >= THRESHOLD * (len(x) + len(y) - both)
 
 
+def linked_with(x: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """Whether each of the non-empty sets reaches the threshold with the non-empty set ``x`` (ascending, as all of them)."""
+    sizes = np.array([len(y) for y in sets])
+    grams = np.concatenate(sets)
+    at = np.minimum(np.searchsorted(x, grams), len(x) - 1)
+    both = np.add.reduceat((x[at] == grams).astype(np.int64), np.cumsum(sizes) - sizes)
+    return 100 * both >= THRESHOLD * (len(x) + sizes - both)
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs a, b whose full sets reach the threshold."""
     pairs = stored(pairs, "pairs")
+    n = pairs.count()
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = stored(_texts(wanted, classes, rows), "texts")
+    texts = stored(few(_texts(few(wanted, 2 * n), classes, rows), 2 * n, TEXTS), "texts")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
@@ -188,7 +201,8 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFram
 
     x, y = texts.select(F.col("id").alias("a"), F.col("text").alias("_s")), texts.select(F.col("id").alias("b"), F.col("text").alias("_t"))
     # a pivot may stand in very many pairs: only this join's left side is skewed, and it can be split
-    return stored(map_arrow(pairs.join(x, "a").join(y, "b").select("a", "b", "_s", "_t"), verify, "a long, b long"), "links")
+    full = few(pairs.join(x, "a").join(y, "b"), n, TEXT_PAIRS)
+    return stored(map_arrow(full.select("a", "b", "_s", "_t"), verify, "a long, b long"), "links")
 
 
 def _sized(texts: DataFrame) -> DataFrame:
@@ -205,22 +219,27 @@ def _sized(texts: DataFrame) -> DataFrame:
     return map_arrow(texts.select("id", "text"), measure, "id long, _set binary")
 
 
-def _block_jobs(members: DataFrame) -> DataFrame:
+def _block_jobs(members: DataFrame) -> tuple[DataFrame, int]:
     """Members ``id, root, n, class`` of buckets ``key`` with several components, dealt to jobs of two blocks: each
-    with the job and whether it is in its ``left`` and ``right`` block. Blocks without a possible link make no job."""
+    with the job and whether it is in its ``left`` and ``right`` block; and
+    the number of members. Blocks without a possible link make no job."""
+    n = members.count()
     mixed = members.groupBy("key").agg(F.min("root").alias("_l"), F.max("root").alias("_h")).where("_l < _h").select("key")
     members = members.join(mixed, "key", "left_semi").select("key", "root", "id", "n", "class")
+    members = stored(few(members, n), "mixed")  # ranking reads it twice
     ranked = global_rank(members, [F.col("key"), F.col("class"), F.col("root"), F.col("id")])
     most = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.expr(f"shiftright({BLOCK_SHINGLES}, class)")))
     ranked = ranked.withColumn("block", F.struct("class", F.floor(F.col("_rank") / most).alias("no"))).drop("_rank")
     ranked = stored(ranked, "blocks")
-    parts = ranked.groupBy("key", "block").agg(F.min("root").alias("_l"), F.max("root").alias("_h"))
+    n = ranked.count()
+    parts = few(ranked.groupBy("key", "block").agg(F.min("root").alias("_l"), F.max("root").alias("_h")), n)
     left = parts.select("key", F.col("block").alias("x"), F.col("_l").alias("_xl"), F.col("_h").alias("_xh"))
     right = parts.select("key", F.col("block").alias("y"), F.col("_l").alias("_yl"), F.col("_h").alias("_yh"))
     work = left.join(right, "key").where("x <= y and y.class - x.class <= 1 and not (_xl = _yh and _xh = _yl and _xl = _xh)")
-    jobs = work.select("key", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
-    return jobs.join(ranked.select("key", "block", "id", "root", "n"), ["key", "block"]).select(
-        F.struct("key", "x", "y").alias("job"), "id", "root", "n", (F.col("block") == F.col("x")).alias("left"), (F.col("block") == F.col("y")).alias("right"))
+    jobs = few(work, n).select("key", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    jobs = few(jobs.join(ranked.select("key", "block", "id", "root", "n"), ["key", "block"]), n)
+    return jobs.select(
+        F.struct("key", "x", "y").alias("job"), "id", "root", "n", (F.col("block") == F.col("x")).alias("left"), (F.col("block") == F.col("y")).alias("right")), n
 
 
 def _candidates(table: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
@@ -250,7 +269,7 @@ def _block_pairs(members: DataFrame, sigs: DataFrame) -> DataFrame:
         ids = table.column("id").to_numpy()
         return _pair_table([(int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))) for i, others in _candidates(table) for j in others])
 
-    jobs = _block_jobs(members.select("key", "root", "id", F.lit(1).cast("long").alias("n"), F.lit(0).alias("class")))
+    jobs, _ = _block_jobs(members.select("key", "root", "id", F.lit(1).cast("long").alias("n"), F.lit(0).alias("class")))
     return jobs.join(sigs, "id").groupBy("job").applyInArrow(lambda t: pairs(t), "a long, b long").distinct()
 
 
@@ -265,7 +284,8 @@ def _block_links(members: DataFrame, sigs: DataFrame, classes: DataFrame, rows:
     a task, fewer than its members, however many pairs are plausible.
     """
     sized = members.join(classes.select("id", "n", F.floor(F.log2("n")).cast("int").alias("class")), "id")
-    jobs = _block_jobs(sized)
+    sized = stored(few(sized, members.count()), "sized")
+    jobs, n = _block_jobs(sized)
 
     def with_partner(table: pa.Table) -> pa.Table:
         marked = np.zeros(table.num_rows, dtype=bool)
@@ -274,8 +294,10 @@ def _block_links(members: DataFrame, sigs: DataFrame, classes: DataFrame, rows:
         return table.select(names).filter(pa.array(marked))
 
     names = jobs.columns
-    survivors = stored(jobs.join(sigs, "id").groupBy("job").applyInArrow(lambda t: with_partner(t), jobs.schema), "survivors")
-    sets = _sized(_texts(survivors.select("id").distinct(), classes, rows)).select("id", "_set")
+    signed = few(jobs.join(sigs, "id"), n, SIGNED)
+    survivors = stored(few(signed.groupBy("job").applyInArrow(lambda t: with_partner(t), jobs.schema), n, TEXTS), "survivors")
+    n = survivors.count()
+    sets = _sized(few(_texts(few(survivors.select("id").distinct(), n), classes, rows), n, TEXTS)).select("id", "_set")
 
     def link(table: pa.Table) -> pa.Table:
         ids, roots = table.column("id").to_numpy(), table.column("root").to_numpy()
@@ -290,29 +312,34 @@ def _block_links(members: DataFrame, sigs: DataFrame, classes: DataFrame, rows:
 
         found = []
         for i, others in _candidates(table):
-            for j in others:
-                if root(int(roots[j])) != root(int(roots[i])) and linked(grams[i], grams[j]):
-                    found.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
-                    to[root(int(roots[j]))] = root(int(roots[i]))
+            for at in range(0, len(others), 64):  # so many sets at once: links found before may have joined the rest
+                rest = [j for j in others[at:at + 64] if root(int(roots[j])) != root(int(roots[i]))]
+                for j in np.array(rest)[linked_with(grams[i], [grams[j] for j in rest])] if rest else []:
+                    if root(int(roots[j])) != root(int(roots[i])):
+                        found.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
+                        to[root(int(roots[j]))] = root(int(roots[i]))
         return _pair_table(found)
 
-    full = survivors.join(sigs, "id").join(sets, "id")
-    return stored(full.groupBy("job").applyInArrow(lambda t: link(t), "a long, b long").distinct(), "links")
+    full = few(survivors.join(sigs, "id").join(sets, "id"), n, TEXTS)
+    links = few(full.groupBy("job").applyInArrow(lambda t: link(t), "a long, b long"), n, TEXTS)
+    return stored(few(links.distinct(), n), "links")
 
 
 def _components(docs: DataFrame) -> DataFrame:
     sets = stored(with_sets(docs), "sets")
     classed = sets.where(F.col("_set").isNotNull()).select(F.xxhash64("_set").alias("id"), "doc_id", "_text", F.col("n_shingles").alias("n"), "_sig")
-    classes = stored(classed.groupBy("id").agg(F.min(F.struct("doc_id", "_text")).alias("_r"), F.max("n").alias("n"), F.first("_sig").alias("_sig"))
-                     .select("id", "_r.*", "n", "_sig"), "classes")
+    classes = classed.groupBy("id").agg(F.min(F.struct("doc_id", "_text")).alias("_r"), F.max("n").alias("n"), F.first("_sig").alias("_sig"))
+    n = sets.count()
+    classes = stored(few(classes.select("id", "_r.*", "n", "_sig"), n, SIGNED), "classes")
     roots = components(_class_links(classes, docs))
     # classes by component, then rows by class: neither gathers the rows of a class
     rooted = classes.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     first_ids = classed.groupBy("id").agg(F.min("doc_id").alias("_first"))
-    rooted = rooted.select("id", "root").join(first_ids, "id")
+    rooted = stored(few(rooted.select("id", "root").join(first_ids, "id"), n), "roots")
     least = rooted.groupBy("root").agg(F.min("_first").alias("component_id"))
-    named = rooted.join(least, "root").select("id", F.col("root").alias("_root"), "component_id")
+    named = few(rooted.join(least, "root"), n).select("id", F.col("root").alias("_root"), "component_id")
     out = sets.select("doc_id", "_text", "n_shingles", F.when(F.col("_set").isNotNull(), F.xxhash64("_set")).alias("id")).join(named, "id", "left")
+    out = few(out, n)
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))).drop("id")
 
@@ -329,7 +356,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def _class_links(classes: DataFrame, docs: DataFrame) -> DataFrame:
-    spark, sigs = classes.sparkSession, classes.select("id", "_sig")
+    spark, sigs, n = classes.sparkSession, classes.select("id", "_sig"), classes.count()
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -341,7 +368,7 @@ def _class_links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     bands = map_arrow(sigs.select("id", "_sig"), keys, "id long, key long")
     bands = stored(bands, "bands")
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key")
-    bands = stored(bands.join(shared, "key", "left_semi"), "buckets")
+    bands = stored(few(bands.join(shared, "key", "left_semi"), BANDS * n), "buckets")
     rows = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_hash"), "text")
     links = spark.createDataFrame([], "a long, b long")
     members = bands.withColumn("root", F.col("id"))
@@ -351,12 +378,12 @@ def _class_links(classes: DataFrame, docs: DataFrame) -> DataFrame:
         else:
             heads = members.groupBy("key", "root").agg(F.min("id").alias("a")) if turn else members.select("key", "root", F.col("id").alias("a"))
             pivots = members.groupBy("key").agg(F.min(F.struct("root", "id")).alias("_p"))
-            pairs = heads.join(pivots, "key").where("root <> _p.root").groupBy("a").agg(F.min("_p.id").alias("b")) if not turn else \
-                heads.join(pivots, "key").where("root <> _p.root").select("a", F.col("_p.id").alias("b")).distinct()
-            links = links.unionByName(_verified(_pruned(pairs, sigs), classes, rows))
+            apart = few(heads.join(pivots, "key").where("root <> _p.root"), BANDS * n).select("a", F.col("_p.id").alias("b"))
+            pairs = apart.distinct() if turn else apart.groupBy("a").agg(F.min("b").alias("b"))
+            links = links.unionByName(_verified(_pruned(pairs, sigs, n), classes, rows))
             roots = components(links)
             members = bands.join(roots, "id", "left").select("id", "key", F.coalesce("root", "id").alias("root"))
-            members = stored(members, "members")
+            members = stored(few(members, BANDS * n), "members")
     return links
 
 

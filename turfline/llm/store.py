@@ -27,6 +27,19 @@ def stored(df: DataFrame, name: str = "table", compression: str | None = None) -
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a narrow table (ids, keys, labels) in a partition, and the partitions that it keeps at least.
+FEW_ROWS, FEW_PARTS = 50_000, 16
+
+
+def few(df: DataFrame, rows: int, per: int = FEW_ROWS) -> DataFrame:
+    """``df`` in no more partitions than about ``rows`` rows need, ``per`` rows to each.
+
+    A small table dealt to all shuffle partitions costs more in tasks and files than in rows. All
+    rows stay, nothing moves: neighbouring partitions become one task, more of them the more rows there are.
+    """
+    return df.coalesce(max(FEW_PARTS, -(-rows // per)))
+
+
 def global_rank(df: DataFrame, order: list[Column], name: str = "_rank") -> DataFrame:
     """Rows numbered from 0 in the order of ``order``, which should end in columns that tell
     rows apart: equal keys stay in one range, all else is dealt out.
