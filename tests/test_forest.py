@@ -106,3 +106,14 @@ def test_cross_validation_fits_each_fold_once(spark, monkeypatch):
     monkeypatch.setattr(FO.Forest, "_fit", lambda self, d: fitted.append(d.count()) or fit(self, d))
     error = ML.cross_validate(df, "RandomForest", 5, numTrees=3).first()["cv_mae"]
     assert fitted == [80] * 5 and 0 < error < 7
+
+
+def test_training_and_answers_read_one_stored_wide_frame(spark, monkeypatch):
+    from turfline.plans.queries import q_ml, q_serve
+    built, frame = [], q_ml.FT.feature_frame
+    monkeypatch.setattr(q_ml.FT, "feature_frame", lambda *a: built.append(1) or frame(*a))
+    monkeypatch.setattr(q_ml, "_CACHE", {})
+    monkeypatch.setattr(q_serve, "_STORED", {})
+    monkeypatch.setattr(q_ml.ML.K, "RF_PARAMS", {**q_ml.K.RF_PARAMS, "numTrees": 2})
+    assert q_serve._predicted_players(spark, "/root/testdata/sf0.001").count() > 0
+    assert len(built) == 1
